@@ -18,10 +18,11 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow.compute as pc
 
 U64 = np.uint64
 #: Code points handled in one numpy pass; bounds memory at roughly 60 bytes each.
-PIECE = 1 << 20
+PIECE = 1 << 18
 _P = 0x9E3779B97F4A7C55
 _PINV = pow(_P, -1, 1 << 64)
 
@@ -197,8 +198,71 @@ def sorted_sets(values: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def batches(it: Iterable, column: str = "text") -> Iterator[tuple[object, list[str | None]]]:
-    """Arrow record batches cut into pieces of about PIECE characters, with their texts."""
+    """Arrow record batches cut into pieces of about PIECE bytes of text, with their texts."""
     for batch in it:
-        texts = batch.column(batch.schema.get_field_index(column)).to_pylist()
-        for a, z in chunked(texts):
-            yield batch.slice(a, z - a), texts[a:z]
+        texts = batch.column(batch.schema.get_field_index(column))
+        size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+        a = 0
+        while a < len(texts):
+            done = size[a - 1] if a else 0
+            z = max(a + 1, int(np.searchsorted(size, done + PIECE, side="right")))
+            yield batch.slice(a, z - a), texts.slice(a, z - a).to_pylist()
+            a = z
+
+
+class Characters:
+    """Texts as one sequence of code points in which each run outside a class is one blank (0).
+
+    ``code`` begins and ends with a blank; ``first[i]`` is where text i begins in it (after a
+    blank) and ``first[-1]`` its length.  ``grams`` yields the n-grams that lie in one run,
+    with the blank before or after it.
+    """
+
+    def __init__(self, texts: list[str | None], member: np.ndarray, lower: bool):
+        clean = [(t or "").lower() if lower else (t or "") for t in texts]
+        raw = points("\n" + "\n".join(clean) + "\n")
+        size = np.fromiter(map(len, clean), np.int64, len(clean)) + 1
+        edge = 1 + np.concatenate(([0], np.cumsum(size)))
+        inside = member[raw]
+        keep = inside.copy()
+        keep[1:] |= inside[:-1]
+        keep[0] = True
+        self.code = np.where(inside, raw, 0)[keep].astype(np.uint32)
+        self.first = np.concatenate(([0], np.cumsum(keep)))[edge]
+
+    def grams(self, n: int, block: int = PIECE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(where the n-gram's second character lies, hash), in order, a block at a time."""
+        value, m = _tables()[2], _odd(n)
+        for a in range(0, max(len(self.code) - n + 1, 0), block):
+            part = self.code[a : a + block + n - 1]
+            k = len(part) - n + 1
+            blank = part == 0
+            ok = ~blank[1 : 1 + k]
+            for j in range(2, n - 1):
+                ok &= ~blank[j : j + k]
+            v = value[part]
+            h = v[:k] * m[0]
+            for j in range(1, n):
+                h += v[j : j + k] * m[j]
+            at = np.flatnonzero(ok)
+            yield at + (a + 1), mix(h[at])
+
+    def per_text(self, at: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """Sum of values for each text, by where they lie."""
+        total = np.concatenate((np.zeros((1, *values.shape[1:])), np.cumsum(values, axis=0, dtype=np.float64)))
+        return np.diff(total[np.searchsorted(at, self.first)], axis=0)
+
+
+@lru_cache(maxsize=1)
+def letters() -> np.ndarray:
+    """Code points of category L*."""
+    out = np.zeros(sys.maxunicode + 1, bool)
+    for c in range(len(out)):
+        if unicodedata.category(chr(c))[0] == "L":
+            out[c] = True
+    return out
+
+
+def solid() -> np.ndarray:
+    """Code points that aren't white space."""
+    return _tables()[1]
