@@ -41,11 +41,11 @@ SIZES = (3, 5)
 BUCKETS = 1 << 16
 DIM = 8
 FIT_DOCS = 5000
-EPOCHS = 12
+EPOCHS = 24
 BATCH = 64
 RATE = 0.5
 REJECT_QUALITY = 0.7
-REJECT_TOXIC = 0.7
+REJECT_TOXIC = 0.6
 U64 = np.uint64
 
 
@@ -123,7 +123,7 @@ def train(data: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, buckets
 
 
 #: Feature shares are small, so vectors learn faster than the output by this factor.
-BUCKET_GAIN = 400.0
+BUCKET_GAIN = 20000.0
 
 
 def predict(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:

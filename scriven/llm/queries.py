@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_duplicates
+from . import decontaminate, language_id, near_duplicates, quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_quality_classifier": quality.op2,
+        "op5_language_id": language_id.op5,
         "op7_ngram_jaccard_join": near_duplicates.op7,
+        "op9_decontamination": decontaminate.op9,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op7_ngram_jaccard_join": near_duplicates.SQL,
+        "op9_decontamination": decontaminate.SQL,
     }
