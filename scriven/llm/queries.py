@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, huffman, language_id, near_duplicates, quality
+from . import bpe, decontaminate, huffman, language_id, near_duplicates, quality, recurrent_lm
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality_classifier": quality.op2,
         "op3_token_huffman": huffman.op3,
         "op5_language_id": language_id.op5,
+        "op6_recurrent_lm": recurrent_lm.op6,
         "op7_ngram_jaccard_join": near_duplicates.op7,
         "op9_decontamination": decontaminate.op9,
         "op10_bpe": bpe.op10,
