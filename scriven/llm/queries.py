@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, huffman, language_id, near_duplicates, quality, recurrent_lm
+from . import bpe, decontaminate, huffman, html_text, language_id, licenses, near_duplicates, quality, recurrent_lm
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_license_scan": licenses.op1,
         "op2_quality_classifier": quality.op2,
         "op3_token_huffman": huffman.op3,
+        "op4_html_text": html_text.op4,
         "op5_language_id": language_id.op5,
         "op6_recurrent_lm": recurrent_lm.op6,
         "op7_ngram_jaccard_join": near_duplicates.op7,
@@ -23,6 +25,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_license_scan": licenses.SQL,
+        "op4_html_text": html_text.SQL,
         "op7_ngram_jaccard_join": near_duplicates.SQL,
         "op9_decontamination": decontaminate.SQL,
     }
