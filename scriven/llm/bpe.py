@@ -23,6 +23,7 @@ empty table gives an empty result.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -38,8 +39,8 @@ from .common import table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces whose ids a worker remembers at most.
-REMEMBERED = 250_000
+#: Pieces, and chunks, whose ids a worker remembers; twice as many at most.
+REMEMBERED = 400_000
 _LONG = 1 << 18
 
 
@@ -112,40 +113,54 @@ def vocabulary(tokens: list[bytes], pattern: str = PATTERN) -> Vocabulary:
     return Vocabulary(b"".join(tokens), np.concatenate(([0], np.cumsum([len(t) for t in tokens]))).astype(np.int64), split, pattern)
 
 
-class _Pieces(dict):
-    """Ids of pieces, as bytes of int32; encodes what it doesn't hold yet."""
+class _Memory(dict):
+    """What was computed lately: when it is full it becomes the old half, from which what is asked for again is taken back."""
 
     def __init__(self, encoder: Encoder):
         super().__init__()
         self.encoder = encoder
+        self.old: dict = {}
+
+    def keep(self, key: str, value: bytes) -> bytes:
+        if len(key) <= 64:
+            if len(self) >= REMEMBERED:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
+class _Pieces(_Memory):
+    """Ids of pieces, as bytes of int32."""
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.encoder.piece(piece.encode()), np.int32).tobytes()
-        if len(piece) <= 64:
-            self[piece] = ids
-        return ids
+        known = self.old.get(piece)
+        return self.keep(piece, self.encoder.pack(self.encoder.piece(piece.encode())) if known is None else known)
 
 
-class _Chunks(dict):
+class _Chunks(_Memory):
     """Ids of what stands between two single blanks, with the first of them.
 
     Pieces of the pattern begin at a blank between two non-blanks, so such chunks can be
     encoded apart.  Where a blank touches other white space they can't: ``broken`` is set.
     """
 
-    def __init__(self, encoder: Encoder):
-        super().__init__()
-        self.encoder = encoder
-        self.broken = False
+    broken = False
 
     def __missing__(self, chunk: str) -> bytes:
         if not chunk or chunk[0].isspace() or chunk[-1].isspace():
             self.broken = True
             return b""
-        ids = b"".join(map(self.encoder.pieces.__getitem__, self.encoder.find(" " + chunk)))
-        if len(chunk) <= 64:
-            self[chunk] = ids
-        return ids
+        known = self.old.get(chunk)
+        if known is None:
+            pieces, encoder = self.encoder.pieces, self.encoder
+            if encoder.plain and chunk.isalpha():  # the pattern takes letters whole
+                known = pieces[" " + chunk]
+            elif encoder.plain and chunk[-1] in ",." and chunk[:-1].isalpha():
+                known = pieces[" " + chunk[:-1]] + pieces[chunk[-1]]
+            else:
+                known = b"".join(map(pieces.__getitem__, encoder.find(" " + chunk)))
+        return self.keep(chunk, known)
 
 
 class Encoder:
@@ -159,8 +174,11 @@ class Encoder:
         for t, i in self.ids.items():
             self.match.add_word(t.decode("latin-1"), i)
         self.match.make_automaton()
-        self.shorter: dict[int, int] = {}
+        #: The longest token that is a proper prefix of each, or -1.
+        self.shorter = [next((self.ids[t[:k]] for k in range(len(t) - 1, 0, -1) if t[:k] in self.ids), -1) for t in map(vocab.token, range(len(vocab)))]
         self.vocab = vocab
+        self.plain = vocab.pattern == PATTERN
+        self.pack = lambda ids: array("i", ids).tobytes()
         self.pieces, self.chunks = _Pieces(self), _Chunks(self)
         self.good: dict[tuple[int, int], bool] = {}
 
@@ -171,9 +189,6 @@ class Encoder:
         merge across the border that would have come before the one undone rules the pair out.
         """
         key, limit = (a, b), 1 << 60
-        known = self.good.get(key)
-        if known is not None:
-            return known
         left, right, pairs = self.left, self.right, self.pairs
         ok = True
         while True:
@@ -198,57 +213,45 @@ class Encoder:
         self.good[key] = ok
         return ok
 
-    def next_shorter(self, token: int) -> int:
-        """The longest token that is a proper prefix of a token, or -1."""
-        found = self.shorter.get(token)
-        if found is None:
-            t, found = self.vocab.token(token), -1
-            for n in range(len(t) - 1, 0, -1):
-                if (i := self.ids.get(t[:n])) is not None:
-                    found = i
-                    break
-            self.shorter[token] = found
-        return found
-
     def piece(self, data: bytes) -> list[int]:
         """Ids of one piece of the pattern."""
         whole = self.ids.get(data)
         if whole is not None:
             return [whole]
-        n, size, text = len(data), self.size, data.decode("latin-1")
-        if n <= 64:
-            scan = self.match.iter_long
-            longest = lambda at: next(scan(text, at))[1]
-        else:  # the longest token at every place, in one scan
+        n, size, text, good = len(data), self.size, data.decode("latin-1"), self.good
+        scan, table = self.match.iter_long, None
+        if n > 64:  # the longest token at every place, in one scan
             table = [-1] * n
             for end, t in self.match.iter(text):
                 table[end + 1 - size[t]] = t  # a later end at the same start is a longer token
-            longest = table.__getitem__
         out: list[int] = []
-        alive = bytearray(b"\1") * (n + 1)
-        at, token = 0, longest(0)
-        while at < n:
-            last = out[-1] if out else -1
-            while True:
-                end = at + size[token]
-                if alive[end] and (last < 0 or self.compatible(last, token)):
+        dead: set[int] = set()
+        at, last, token = 0, -1, next(scan(text, 0))[1]
+        while True:
+            end = at + size[token]
+            if end not in dead:
+                ok = last < 0
+                if not ok:
+                    ok = good.get((last, token))
+                    if ok is None:
+                        ok = self.compatible(last, token)
+                if ok:
                     out.append(token)
-                    at = end
-                    token = longest(at) if at < n else -1
-                    break
-                token = self.next_shorter(token)
-                if token < 0:
-                    alive[at] = 0
-                    token = out.pop()
-                    at -= size[token]
-                    break
-        return out
+                    if end == n:
+                        return out
+                    at, last = end, token
+                    token = table[at] if table else next(scan(text, at))[1]
+                    continue
+            token = self.shorter[token]
+            while token < 0:  # a dead end: take the last token back and go on with a shorter one
+                dead.add(at)
+                token = out.pop()
+                at -= size[token]
+                last = out[-1] if out else -1
+                token = self.shorter[token]
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as the bytes of int32 numbers."""
-        for kept in (self.pieces, self.chunks):
-            if len(kept) > REMEMBERED:
-                kept.clear()
         if len(text) > _LONG:
             return b"".join(self._part(p) for p in _cuts(text))
         return self._part(text)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, huffman, html_text, language_id, licenses, near_duplicates, quality, recurrent_lm
+from . import bpe, decontaminate, huffman, html_text, language_id, licenses, media, near_duplicates, quality, recurrent_lm
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_language_id": language_id.op5,
         "op6_recurrent_lm": recurrent_lm.op6,
         "op7_ngram_jaccard_join": near_duplicates.op7,
+        "op8_media_clips": media.op8,
         "op9_decontamination": decontaminate.op9,
         "op10_bpe": bpe.op10,
     }
@@ -28,5 +29,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_license_scan": licenses.SQL,
         "op4_html_text": html_text.SQL,
         "op7_ngram_jaccard_join": near_duplicates.SQL,
+        "op8_media_clips": media.SQL,
         "op9_decontamination": decontaminate.SQL,
     }
