@@ -465,6 +465,6 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = f"""
 SELECT vec_id AS media_id, clip, clip * {FRAMES_PER_SCENE} AS first_frame, clip * {FRAMES_PER_SCENE} + {FRAMES_PER_SCENE - 1} AS last_frame,
-  round(clip * {FRAMES_PER_SCENE} * {FRAME_MICROS / 1e6}, 6) AS start_s, round((clip + 1) * {FRAMES_PER_SCENE} * {FRAME_MICROS / 1e6}, 6) AS end_s, CAST(NULL AS VARCHAR) AS error
-FROM (SELECT vec_id, unnest(range(0, 2 + vec_id % 3)) AS clip FROM embeddings)
+  CAST(clip * {FRAMES_PER_SCENE * FRAME_MICROS} AS DOUBLE) / 1000000 AS start_s, CAST((clip + 1) * {FRAMES_PER_SCENE * FRAME_MICROS} AS DOUBLE) / 1000000 AS end_s, CAST(NULL AS VARCHAR) AS error
+FROM (SELECT vec_id, CAST(unnest(range(0, 2 + vec_id % 3)) AS INTEGER) AS clip FROM embeddings)
 """
