@@ -228,7 +228,8 @@ def _compared(docs: DataFrame, cls: DataFrame, n: int, threshold: float, emit: s
     if emit == "edges":
         cand = cand.withColumn("ids", F.slice("ids", 1, 1))
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    with_text = text.join(small(cand), "doc_id").select("key", "ids", "root", "lo", "hi", "own", "text")
+    weight = cand.agg(F.coalesce(F.sum(F.size("ids") + 4), F.lit(0))).first()[0]  # lists of ids count by their length
+    with_text = text.join(small(cand, weight), "doc_id").select("key", "ids", "root", "lo", "hi", "own", "text")
     spread = with_text.repartition("root", "lo", "hi")
     kind = "key long, ids array<long>, root long, lo int, hi int, own int, size int, values binary"
     sets = spread.mapInArrow(_sets(n), kind).sortWithinPartitions("root", "lo", "hi", "key")
