@@ -256,8 +256,8 @@ def duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
     """The documents without those in duplicates(); all columns, rows with a null doc_id too."""
-    gone = materialize(duplicates(docs, **options).select(F.col("doc_id").alias("__gone")), "gone")
-    return docs.join(small(gone), docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")
+    gone = small(materialize(duplicates(docs, **options).select(F.col("doc_id").alias("__gone")), "gone"))
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
