@@ -308,6 +308,18 @@ def list_array(ids: np.ndarray, bound: np.ndarray, null: np.ndarray | None = Non
     return pa.ListArray.from_arrays(offsets, pa.array(ids))
 
 
+def token_lists(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """(doc_id, token_ids) of each document, without decoding them again."""
+    sent = docs.sparkSession.sparkContext.broadcast(vocab)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in tc.batches(it, "text"):
+            ids, bound = encode_batch(sent.value, texts)
+            yield pa.RecordBatch.from_arrays([part.column(0), list_array(ids, bound, np.array([t is None for t in texts]))], ["doc_id", "token_ids"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, token_ids array<int>")
+
+
 def encode(docs: DataFrame, vocab: Vocabulary, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, columns to keep, n_tokens, token_ids, round_trip) of each document; round_trip: decoding gave the text back."""
     sent = docs.sparkSession.sparkContext.broadcast(vocab)

@@ -225,5 +225,5 @@ def read(spark: SparkSession, path: str, block: int = BLOCK) -> DataFrame:
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = materialize(bpe.encode(table(spark, sf_dir, "documents"), bpe.load()).select("doc_id", "token_ids"), "tokens")
+    tokens = materialize(bpe.token_lists(table(spark, sf_dir, "documents"), bpe.load()), "tokens")
     return encode(tokens, fit(tokens))
