@@ -44,9 +44,6 @@ REMEMBERED = 200_000
 _LONG = 1 << 18
 
 
-_kept: dict = {}
-
-
 @dataclass
 class Vocabulary:
     """Token bytes by id, the merge that makes each token (itself for single bytes), the pattern."""
@@ -70,9 +67,9 @@ class Vocabulary:
     def encoder(self) -> Encoder:
         if "encoder" not in self._made:  # workers keep the last one from task to task
             key = (self.blob, self.pattern)
-            if _kept.get("key") != key:
-                _kept.update(key=key, encoder=Encoder(self))
-            self._made["encoder"] = _kept["encoder"]
+            if tc.held.get("key") != key:
+                tc.held.update(key=key, encoder=Encoder(self))
+            self._made["encoder"] = tc.held["encoder"]
         return self._made["encoder"]
 
 
@@ -313,7 +310,7 @@ def token_lists(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(vocab)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in tc.batches(it, "text"):
+        for part, texts in tc.batches(it, "text", keep=True):
             ids, bound = encode_batch(sent.value, texts)
             yield pa.RecordBatch.from_arrays([part.column(0), list_array(ids, bound, np.array([t is None for t in texts]))], ["doc_id", "token_ids"])
 
@@ -326,7 +323,7 @@ def encode(docs: DataFrame, vocab: Vocabulary, keep: tuple[str, ...] = ()) -> Da
     names = ["doc_id", *keep]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in tc.batches(it, "text"):
+        for part, texts in tc.batches(it, "text", keep=True):
             v = sent.value
             ids, bound = encode_batch(v, texts)
             raw, cut = decode_ids(v, ids, bound)

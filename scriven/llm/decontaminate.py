@@ -36,7 +36,7 @@ from . import textcore as tc
 from .common import table
 
 MIN_WORDS = 8
-SHARD = 1 << 20
+SHARD = 1 << 19
 SLICE = 1 << 21
 U64 = np.uint64
 

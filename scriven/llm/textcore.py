@@ -12,12 +12,14 @@ treated as an empty text and has no words.
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
@@ -197,8 +199,27 @@ def sorted_sets(values: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.n
     return v[keep], np.concatenate(([0], np.cumsum(keep)))[bound]
 
 
-def batches(it: Iterable, column: str = "text") -> Iterator[tuple[object, list[str | None]]]:
-    """Arrow record batches cut into pieces of about PIECE bytes of text, with their texts."""
+#: What an operator keeps in a worker from task to task; another operator's task drops it.
+held: dict = {}
+
+
+def _give_back() -> None:
+    """Return freed memory to the system: workers are reused, and an executor has several."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def batches(it: Iterable, column: str = "text", keep: bool = False) -> Iterator[tuple[object, list[str | None]]]:
+    """Arrow record batches cut into pieces of about PIECE bytes of text, with their texts; ``keep`` leaves ``held`` alone."""
+    if not keep and held:
+        held.clear()
+    yield from _pieces(it, column)
+    _give_back()
+
+
+def _pieces(it: Iterable, column: str) -> Iterator[tuple[object, list[str | None]]]:
     for batch in it:
         texts = batch.column(batch.schema.get_field_index(column))
         size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
