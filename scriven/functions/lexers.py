@@ -164,6 +164,22 @@ def strip_yaml(text: str) -> str:
     return collapse("\n".join("" if x.lstrip(_WHITE).startswith("#") else _inline(x, "yaml") for x in split_lines(text)).rstrip(_WHITE))
 
 
+def _sub(pattern: str) -> Callable[[str], str]:
+    found = re.compile(pattern.replace(r"\z", r"\Z"))
+    return lambda text: collapse(found.sub(lambda m: "".join(g or "" for g in m.groups()), text))
+
+
+_STRIP = {"html": _sub(HTML), "css": _sub(CSS), "sql": _sub(SQL), "python": strip_python, "ruby": strip_ruby, "shell": strip_shell, "yaml": strip_yaml}
+_C_LIKE = _sub(CSTYLE)
+_WITH_DOCS = {k: _sub(_cstyle_pattern(v)) for k, v in DOCS.items()}
+
+
+def strip_text(text: str, language: str | None, strip_docs: bool = False) -> str:
+    """``strip`` for one string."""
+    own = _STRIP.get(language) or (None if strip_docs else _WITH_DOCS.get(language)) or _C_LIKE
+    return own(text)
+
+
 def texts_udf(fn: Callable[[str], str]) -> Callable[[Column], Column]:
     """A string function over Arrow batches; null gives null."""
 

@@ -4,8 +4,8 @@ Literals and comments are blanked out first (same length), so that braces, keywo
 are found in code alone.  In languages with braces each function header (a pattern, then the
 parameter list, then what may stand before a body) is followed by its body's matching brace;
 in Python the body is what is indented deeper; in Ruby it ends at the ``end`` of its depth.
-Only outermost functions are stubbed, as their bodies go whole; a body of one character or
-less, a declaration without a body, and code without functions stay as they are.  Null gives
+Only outermost functions are stubbed, as their bodies go whole; a declaration without a body,
+an expression of one character, and code without functions stay as they are.  Null gives
 null.  Everything is linear in the text.
 """
 
@@ -30,6 +30,7 @@ _SLASH = r"//[^\n]*+|/\*[\s\S]*?(?:\*/|\Z)|\"(?:[^\"\\]|\\[\s\S])*+\"?"
 _C_LITERALS = re.compile(_SLASH + r"|`(?:[^`\\]|\\[\s\S])*+`?|'(?:[^'\\\n]|\\[\s\S])*+'")
 _RUST_LITERALS = re.compile(_SLASH + r"|'(?:[^'\\\n]|\\[^\n]{1,8})'")
 _KEPT = re.compile(r"[^\n]")
+_SPACES = re.compile(r"\s*")
 
 
 def mask(text: str, language: str) -> str:
@@ -127,7 +128,7 @@ def bodies(text: str, language: str) -> list[tuple[int, int]]:
     while m := head.search(code, at):
         at = m.end()
         if m.group() == "=>":
-            begin = at + len(code[at:]) - len(code[at:].lstrip()) if at < len(code) and code[at].isspace() else at
+            begin = _SPACES.match(code, at).end()
             end = pairs[begin] + 1 if begin < len(code) and code[begin] == "{" and begin in pairs else _arrow_end(code, begin, pairs)
             line = code[code.rfind("\n", 0, m.start()) + 1 : m.start()].lstrip()
             if line.startswith(("type ", "interface ", "declare ", "export type ")):
@@ -143,8 +144,7 @@ def bodies(text: str, language: str) -> list[tuple[int, int]]:
             if t is None or t.end() - 1 not in pairs:
                 continue
             begin, end = t.end() - 1, pairs[t.end() - 1] + 1
-        inner = text[begin:end].strip("{}").strip()
-        if len(inner) > 1:
+        if end - begin > 1:
             out.append((begin, end))
         at = max(at, end)
     return out

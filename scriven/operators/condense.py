@@ -21,60 +21,49 @@ from ..functions import formats, lexers, neardup, stubs
 from ..functions.tokens import Counter, approximate, saved_pct
 from ..plans.options import Options
 
-_PYTHON_OWN = {"python": lexers.strip_python, "ruby": lexers.strip_ruby, "shell": lexers.strip_shell, "yaml": lexers.strip_yaml}
+_IN_PYTHON = ("python", "ruby", "shell", "yaml")
 NOT_JSON = "invalid JSON"
 
 
-def _python_step(use_stubs: bool, smart: bool):
-    """Rewrites of the rows that need Python and, if asked, the distinct blocks of what either side rewrote."""
+def _python_step(options: Options):
+    """Rewrites of the rows that go to Python; with ``smart``, their distinct blocks."""
 
     def one(text: str, kind: str, lang: str | None) -> str | None:
         if kind == D.JSON:
             return formats.compact_json(text)
         if kind == D.TEXT:
-            return formats.dedup_lines(text)
-        if use_stubs and lang not in stubs.NOT_STUBBED:
-            return stubs.stub(text, lang or "generic")
-        return _PYTHON_OWN[lang](text)
+            new = formats.dedup_lines(text)
+        elif options.stubs and lang not in stubs.NOT_STUBBED:
+            new = stubs.stub(text, lang or "generic")
+        else:
+            new = lexers.strip_text(text, lang, options.strip_docs)
+        return neardup.distinct_blocks(new) if options.smart else new
 
     @F.arrow_udf(StringType())
-    def run(texts: pa.Array, rewritten: pa.Array, kinds: pa.Array, languages: pa.Array) -> pa.Array:
-        out = []
-        for text, done, kind, lang in zip(texts.to_pylist(), rewritten.to_pylist(), kinds.to_pylist(), languages.to_pylist()):
-            new = one(text, kind, lang) if text is not None else done
-            out.append(neardup.distinct_blocks(new) if smart and new is not None and kind != D.JSON else new)
-        return pa.array(out, pa.string())
+    def run(texts: pa.Array, kinds: pa.Array, languages: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else one(t, k, x) for t, k, x in zip(texts.to_pylist(), kinds.to_pylist(), languages.to_pylist())], pa.string())
 
     return run
 
 
-def with_rewrite(docs: DataFrame, into: str, text: Column, kind: Column, language: Column, options: Options = Options()) -> DataFrame:
-    """docs with a column of each document's text by its type, near-duplicate blocks dropped if ``smart``.
+def rewrite(text: Column, kind: Column, language: Column, options: Options = Options()) -> Column:
+    """A document's text by its type, near-duplicate blocks dropped if ``smart``.
 
-    JSON, logs and diffs have no blank line left, hence one block, and skip that step.
+    JSON, logs and diffs have no blank line left, hence one block.  Looking for blocks needs
+    Python, so with ``smart`` text and code are rewritten there at once: a row is sent once.
     """
-    in_python = (kind == D.JSON) | ((kind == D.CODE) & language.isin(*_PYTHON_OWN))
+    in_python = (kind == D.JSON) | ((kind == D.CODE) & language.isin(*_IN_PYTHON))
     if options.stubs:
         in_python = in_python | ((kind == D.CODE) & ~language.isin(*stubs.NOT_STUBBED))
-    if options.smart:  # such rows go to Python for their blocks anyway
-        in_python = in_python | (kind == D.TEXT)
-    native = (
-        F.when(in_python | kind.isin(D.LOGS, D.DIFF), F.lit(None).cast("string"))
-        .when(language == "html", lexers.html(text))
-        .when(language == "css", lexers.css(text))
-        .when(language == "sql", lexers.sql(text))
-        .when(language == "rust", lexers.cstyle(text, "rust", options.strip_docs))
-        .when(language == "swift", lexers.cstyle(text, "swift", options.strip_docs))
-        .when(kind == D.CODE, lexers.cstyle(text))
-    )
-    out = docs.withColumns({"__native": native, "__python": F.when(in_python, text)})
-    blocks = F.col("__native") if options.smart else F.lit(None).cast("string")
-    done = _python_step(options.stubs, options.smart)(F.col("__python"), blocks, kind, language)
-    to_udf = in_python | (kind == D.CODE) if options.smart else in_python
-    new = F.when(kind == D.LOGS, formats.log_collapse(text)).when(kind == D.DIFF, formats.diff_compact(text)).when(to_udf, done)
+    if options.smart:
+        in_python = in_python | kind.isin(D.TEXT, D.CODE)
+    out = F.when(kind == D.LOGS, formats.log_collapse(text)).when(kind == D.DIFF, formats.diff_compact(text)).when(in_python, _python_step(options)(F.when(in_python, text), kind, language))
     if not options.smart:
-        new = new.when(kind == D.TEXT, formats.text_dedup(text))
-    return out.withColumn(into, new.otherwise(F.col("__native"))).drop("__native", "__python")
+        out = out.when(kind == D.TEXT, formats.text_dedup(text))
+        for own in ("html", "css", "sql", "rust", "swift"):
+            out = out.when(language == own, lexers.strip(text, own, options.strip_docs))
+        out = out.when(kind == D.CODE, lexers.cstyle(text))
+    return out
 
 
 def condense(docs: DataFrame, options: Options = Options(), text: str = "text", path: str | None = None, forced: str | None = None, count: Counter = approximate, kind: Column | None = None) -> DataFrame:
@@ -85,7 +74,7 @@ def condense(docs: DataFrame, options: Options = Options(), text: str = "text",
     found = D.resolve(F.col(text), F.col(path) if path else None, forced)
     out = docs.withColumn("__kind", found if kind is None else F.when(kind.isNotNull(), kind).otherwise(found))
     out = out.withColumns({"content_type": F.when(F.col(text).isNotNull(), F.col("__kind.content_type")), "language": F.when(F.col(text).isNotNull(), F.col("__kind.language"))}).drop("__kind")
-    out = with_rewrite(out, "__new", F.col(text), F.col("content_type"), F.col("language"), options)
+    out = out.withColumn("__new", rewrite(F.col(text), F.col("content_type"), F.col("language"), options))
     if options.patterns:
         out = out.withColumn("__new", formats.strip_patterns(F.col("__new"), list(options.patterns)))
     if options.budget is not None:
