@@ -116,6 +116,11 @@ def _valid_json(texts: pa.Array) -> pa.Array:
     return pa.array([valid(t) for t in texts.to_pylist()], pa.bool_())
 
 
+# Not declared deterministic: the optimizer then computes a type once, where it would copy its
+# long CASE into every expression that names it.
+_valid_json = _valid_json.asNondeterministic()
+
+
 def _any(text: Column, words: tuple[str, ...]) -> Column:
     return reduce(or_, (F.contains(text, F.lit(w)) for w in words))
 
