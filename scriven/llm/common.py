@@ -136,5 +136,7 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         if now == mark:
             break
         mark = now
+    else:
+        raise RuntimeError(f"components didn't settle in {rounds} rounds")
     roots = e.groupBy("a").agg(F.min("b").alias("b"))
     return roots.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
