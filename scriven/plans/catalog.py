@@ -255,9 +255,9 @@ def budget_prefix(spark, sf_dir):
 
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    return docs.select("source", F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), formats.text_dedup(F.col("text")).alias("condensed"),
-                       approximate(F.col("text")).alias("tokens_before"), approximate(formats.text_dedup(F.col("text"))).alias("tokens_after"))
+    docs = _table(spark, sf_dir, "documents").withColumn("condensed", formats.text_dedup(F.col("text")))
+    path = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    return docs.select("source", path.alias("path"), "condensed", approximate(F.col("text")).alias("tokens_before"), approximate(F.col("condensed")).alias("tokens_after"))
 
 
 _FILES = f"{_DEDUP}, files AS (SELECT source, source || '/' || doc_id || '.txt' AS path, condensed, tokens_before, tokens_after FROM facts), ch AS (SELECT *, '// === ' || path || ' ===' || chr(10) || condensed || chr(10) || chr(10) AS chunk FROM files)"
