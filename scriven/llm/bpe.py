@@ -40,7 +40,7 @@ from .common import table
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces, and chunks, whose ids a worker remembers; twice as many at most.
-REMEMBERED = 200_000
+REMEMBERED = 50_000
 _LONG = 1 << 18
 
 
