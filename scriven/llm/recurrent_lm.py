@@ -1,9 +1,17 @@
 """Scoring with a gated recurrent language model.
 
-Model.  Words (see textcore) map to the ``VOCABULARY`` - 2 most frequent of the whole corpus
-(ties by hash), the rest to one unknown word; an end mark closes every document and starts
-the next.  A gated recurrent unit reads the words; the output is factored, a softmax over
-``CLASSES`` classes of words and one over the words of the class.  Words are put into classes by frequency rank.
+Model.  The vocabulary grows with the corpus: it holds every word (see textcore) that occurs at
+least sqrt(words of the corpus) / ``SHARE`` times, and twice.  An end mark closes every document
+and starts the next.  A gated recurrent unit reads the words; the output is factored, a softmax
+over classes of words, about the square root of the vocabulary, and one over the words of the
+class.  Words are put into classes by frequency rank (ties by hash).
+
+Spelling.  Words beyond the vocabulary are read as one unknown word and then spelled: their
+probability is that of the unknown word times that of their letters, each given the two before
+it, and of the word's end.  The letters' probabilities are counted over all occurrences of such
+words in the corpus and interpolated (Witten-Bell) down to a uniform one over all letters and
+numbers of Unicode, so every word has one of its own.  No count is cut off.  Spellings of words
+of the vocabulary are not left out, so a little of the unknown word's probability is lost.
 
 Training.  Truncated backpropagation through ``WINDOW`` steps with Adagrad, in numpy, on
 every document of the corpus: each document takes part in one of ``ROUNDS`` rounds, chosen by
@@ -25,6 +33,7 @@ not read.  An empty table gives an empty result (the model is then untrained).
 from __future__ import annotations
 
 import heapq
+import math
 import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -35,10 +44,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .common import groups, table
+from .common import groups, materialize, table
 
-VOCABULARY = 2048
-CLASSES = 32
+SHARE = 32
 WIDTH = 16
 WINDOW = 16
 ROUNDS = 2
@@ -51,6 +59,66 @@ f4 = np.float32
 NAMES = ("embed", "gate_in", "gate_state", "gate_bias", "class_out", "class_bias", "word_out", "word_bias")
 
 
+def _added(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sum of each one's numbers."""
+    u, inverse = np.unique(keys, return_inverse=True)
+    return u, np.bincount(inverse, n, len(u)).astype(np.int64)
+
+
+def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, whether there) in sorted keys."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
+#: Bits of a code point in a key, and a key of letters before and the letter; 0 is the start and the end of a word.
+_BITS, _LAST = 21, (1 << 21) - 1
+
+
+class Spelling:
+    """Probabilities of letters given the two before, from the counts of triples."""
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray):
+        alphabet = int(tc._tables()[0].sum()) + 1
+        one, n1 = _added(keys & _LAST, n)
+        total, kinds = int(n1.sum()), len(one)
+        self.never = 1 / alphabet * (kinds / (total + kinds) if total else 1)
+        #: Of 1, 2 and 3 letters: keys, their probabilities, keys of what comes before and the weight of the shorter ones after it.
+        self.levels = [(one, n1 / max(1, total + kinds) + self.never, None, None)]
+        for k in (2, 3):
+            gram, many = _added(keys & ((1 << _BITS * k) - 1), n)
+            before, inverse = np.unique(gram >> _BITS, return_inverse=True)
+            seen, kinds = np.bincount(inverse, many, len(before)), np.bincount(inverse, minlength=len(before))
+            shorter = self.probability(gram & ((1 << _BITS * (k - 1)) - 1), k - 1)
+            self.levels.append((gram, (many + kinds[inverse] * shorter) / (seen + kinds)[inverse], before, kinds / (seen + kinds)))
+
+    def probability(self, keys: np.ndarray, k: int = 3) -> np.ndarray:
+        gram, p, before, weight = self.levels[k - 1]
+        at, there = _found(gram, keys)
+        out = np.full(len(keys), self.never)
+        out[there] = p[at[there]]
+        if k > 1 and not there.all():
+            rest = keys[~there]
+            at, known = _found(before, rest >> _BITS)
+            less = np.ones(len(rest))
+            less[known] = weight[at[known]]
+            out[~there] = less * self.probability(rest & ((1 << _BITS * (k - 1)) - 1), k - 1)
+        return out
+
+
+def _letters(words: tc.Words, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the letters and the end of some words with the letters before, and which word each is of."""
+    code = tc.points(words.joined).astype(np.int64)
+    start, size = words.start[which], words.end[which] - words.start[which] + 1
+    owner = np.repeat(np.arange(len(which)), size)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
+    at = np.repeat(start, size) + place
+    own = np.where(place == size[owner] - 1, 0, code[at])
+    return (np.where(place > 1, code[at - 2], 0) << 2 * _BITS) | (np.where(place > 0, code[at - 1], 0) << _BITS) | own, owner
+
+
 @dataclass
 class Model:
     """Parameters; word w belongs to class w // per_class."""
@@ -58,6 +126,7 @@ class Model:
     hashes: np.ndarray  # sorted hashes of known words
     ids: np.ndarray  # their ids
     params: dict[str, np.ndarray]
+    spelling: Spelling | None = None
 
     @property
     def per_class(self) -> int:
@@ -67,9 +136,11 @@ class Model:
 END, UNKNOWN = 0, 1
 
 
-def fresh(hashes: np.ndarray, vocabulary: int = VOCABULARY, classes: int = CLASSES, width: int = WIDTH, seed: int = 11) -> Model:
+def fresh(hashes: np.ndarray, vocabulary: int | None = None, classes: int | None = None, width: int = WIDTH, seed: int = 11) -> Model:
     """An untrained model; hashes in order of frequency."""
     g = np.random.default_rng(seed)
+    vocabulary = vocabulary or len(hashes) + 2
+    classes = classes or math.isqrt(vocabulary - 1) + 1
     per = -(-vocabulary // classes)
     draw = lambda *shape: (g.normal(0, 1, shape) / np.sqrt(width)).astype(f4)
     order = np.argsort(hashes)
@@ -152,43 +223,48 @@ def _forward(p: dict, h: np.ndarray, x: Window, keep: bool):
     return states, embedded, kept
 
 
-def _softmax_rows(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(probabilities, log of their normaliser) of each row."""
-    top = logits.max(axis=1, keepdims=True)
-    e = np.exp(logits - top)
-    s = e.sum(axis=1, keepdims=True)
-    return e / s, (top + np.log(s))[:, 0]
+def _softmax(h: np.ndarray, weight: np.ndarray, own: np.ndarray, back: bool) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
+    """Log-probability of each row's own column; with back also d(-sum)/d of rows and weights.  h ends with a column of ones, weight with the bias."""
+    rows = np.arange(len(h))
+    e = h @ weight.T
+    if np.abs(weight).sum(axis=1).max() > 60:  # states lie within -1 and 1, so below that nothing overflows
+        e -= e.max(axis=1, keepdims=True)
+    mine = e[rows, own]
+    np.exp(e, out=e)
+    s = e @ np.ones(e.shape[1], e.dtype)
+    mine -= np.log(s)
+    if not back:
+        return mine, None, None
+    e[rows, own] -= s
+    return mine, (e @ weight[:, :-1]) / s[:, None], e.T @ (h / s[:, None])
 
 
 def _output(p: dict, h: np.ndarray, target: np.ndarray, grads: dict | None) -> tuple[np.ndarray, np.ndarray | None]:
     """Log-probability of each target from its state; with grads also d(-sum)/dh, and gradients are stored."""
-    per = p["word_out"].shape[1]
-    cls, word = target // per, target % per
-    logits = h @ p["class_out"] + p["class_bias"]
-    prob, norm = _softmax_rows(logits)
-    rows = np.arange(len(h))
-    out = logits[rows, cls] - norm
-    back = None
-    if grads is not None:
-        prob[rows, cls] -= 1
-        grads["class_out"], grads["class_bias"] = h.T @ prob, prob.sum(axis=0)
-        back = prob @ p["class_out"].T
-        grads["word_out"], grads["word_bias"] = np.zeros_like(p["word_out"]), np.zeros_like(p["word_bias"])
+    per, learn = p["word_out"].shape[1], grads is not None
+    cls = target // per
     order = np.argsort(cls, kind="stable")
-    cut = np.searchsorted(cls[order], np.arange(p["class_out"].shape[1] + 1))
-    for c in range(len(cut) - 1):
-        mine = order[cut[c] : cut[c + 1]]
-        if not len(mine):
+    cls, word = cls[order], (target % per)[order]
+    h = np.concatenate((h[order], np.ones((len(h), 1), h.dtype)), axis=1)
+    logp, dh, d = _softmax(h, np.concatenate((p["class_out"].T, p["class_bias"][:, None]), axis=1), cls, learn)
+    if learn:
+        grads["class_out"], grads["class_bias"] = d[:, :-1].T, d[:, -1]
+        grads["word_out"], grads["word_bias"] = np.zeros_like(p["word_out"]), np.zeros_like(p["word_bias"])
+    cut = np.searchsorted(cls, np.arange(p["class_out"].shape[1] + 1)).tolist()
+    for c, (a, z) in enumerate(zip(cut, cut[1:])):
+        if a == z:
             continue
-        hc, wc = h[mine], word[mine]
-        logits = hc @ p["word_out"][c].T + p["word_bias"][c]
-        prob, norm = _softmax_rows(logits)
-        r = np.arange(len(mine))
-        out[mine] += logits[r, wc] - norm
-        if grads is not None:
-            prob[r, wc] -= 1
-            grads["word_out"][c], grads["word_bias"][c] = prob.T @ hc, prob.sum(axis=0)
-            back[mine] += prob @ p["word_out"][c]
+        own, back, d = _softmax(h[a:z], np.concatenate((p["word_out"][c], p["word_bias"][c][:, None]), axis=1), word[a:z], learn)
+        logp[a:z] += own
+        if learn:
+            dh[a:z] += back
+            grads["word_out"][c], grads["word_bias"][c] = d[:, :-1], d[:, -1]
+    out = np.empty_like(logp)
+    out[order] = logp
+    if not learn:
+        return out, None
+    back = np.empty_like(dh)
+    back[order] = dh
     return out, back
 
 
@@ -219,7 +295,10 @@ def gradients(p: dict, h: np.ndarray, x: Window) -> tuple[float, dict, np.ndarra
     g["gate_in"], g["gate_bias"] = embedded.T @ flat, flat.sum(axis=0)
     dx = flat @ p["gate_in"].T
     ids = x.source.reshape(-1)
-    g["embed"] = np.stack([np.bincount(ids, dx[:, k], len(p["embed"])) for k in range(w)], axis=1).astype(f4)
+    order = np.argsort(ids, kind="stable")
+    first = np.flatnonzero(np.diff(ids[order], prepend=-1))
+    g["embed"] = np.zeros_like(p["embed"])
+    g["embed"][ids[order[first]]] = np.add.reduceat(dx[order], first, axis=0)
     return -float(logp.sum()), g, states[-1]
 
 
@@ -236,13 +315,14 @@ def train(model: Model, lists: Iterator[list[np.ndarray]], rate: float = RATE) -
             _, g, state = gradients(p, np.zeros((n, w), f4) if state is None else state[:n], x)
             words = int(x.valid.sum())
             seen += words
+            classes = np.unique(x.target[x.valid] // p["word_out"].shape[1])
+            touched = {"embed": np.unique(x.source), "word_out": classes, "word_bias": classes}
             for k, d in g.items():
-                d *= f4(64 / words)
-                np.clip(d, -1, 1, out=d)
-                square[k] += d * d
-                d /= np.sqrt(square[k])
-                d *= f4(rate)
-                p[k] -= d
+                at = touched.get(k, slice(None))  # elsewhere gradients are 0 and nothing changes
+                d = np.clip(d[at] * f4(64 / words), -1, 1)
+                square[k][at] += d * d
+                d /= np.sqrt(square[k][at])
+                p[k][at] -= d * f4(rate)
     return p, seen
 
 
@@ -262,55 +342,88 @@ def log_likelihoods(model: Model, ids: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _batches(it: Iterator[pa.RecordBatch], model: Model, column: str) -> Iterator[tuple[list[pa.RecordBatch], list[np.ndarray], list[bool]]]:
-    """Batches of documents with their word ids, about BATCH words together."""
-    held, ids, null, size = [], [], [], 0
+def _unknown(model: Model, words: tc.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words beyond the vocabulary: their places, and of the distinct ones letters, the word of each letter, the distinct word of each place."""
+    at = np.flatnonzero(word_ids(model, words.hash) == UNKNOWN)
+    _, first, inverse = np.unique(words.hash[at], return_index=True, return_inverse=True)
+    return at, *_letters(words, at[first]), inverse
+
+
+def _spelled(model: Model, words: tc.Words) -> np.ndarray:
+    """Natural log of the probability of the spellings in each text."""
+    at, keys, owner, inverse = _unknown(model, words)
+    each = np.bincount(owner, np.log(model.spelling.probability(keys)), int(owner[-1]) + 1 if len(owner) else 0)
+    return np.bincount(np.searchsorted(words.bound, at, side="right") - 1, each[inverse], len(words.bound) - 1)
+
+
+def _batches(it: Iterator[pa.RecordBatch], model: Model, column: str, spell: bool = False) -> Iterator[tuple[list[pa.RecordBatch], list[np.ndarray], list[bool], list[float]]]:
+    """Batches of documents with their word ids, about BATCH words together; with ``spell`` also log-probabilities of their spellings."""
+    held, ids, null, spelled, size = [], [], [], [], 0
     for part, texts in tc.batches(it, column):
-        words = tc.Words(texts)
+        words = tc.Words(texts, spans=spell)
         flat = word_ids(model, words.hash)
         ids += [flat[a:z] for a, z in zip(words.bound.tolist(), words.bound[1:].tolist())]
         null += [t is None for t in texts]
+        if spell:
+            spelled += _spelled(model, words).tolist()
         held.append(part)
         size += len(flat)
         if size + len(ids) >= BATCH:
-            yield held, ids, null
-            held, ids, null, size = [], [], [], 0
+            yield held, ids, null, spelled
+            held, ids, null, spelled, size = [], [], [], [], 0
     if ids:
-        yield held, ids, null
-
-
-def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> np.ndarray:
-    """Hashes of the most frequent words of all documents, most frequent first."""
-
-    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, n = np.zeros(0, U64), np.zeros(0, np.int64)
-        waiting, many = [], 0
-
-        def merged(h, n, waiting):
-            if waiting:
-                u, c = np.unique(np.concatenate(waiting), return_counts=True)
-                h, inverse = np.unique(np.concatenate((h, u)), return_inverse=True)
-                n = np.bincount(inverse, np.concatenate((n, c)), len(h)).astype(np.int64)
-            return h, n
-
-        for _, texts in tc.batches(it):
-            w = tc.Words(texts).hash
-            waiting.append(w)
-            many += len(w)
-            if many > 1 << 20:
-                h, n = merged(h, n, waiting)
-                waiting, many = [], 0
-                if len(h) > 1 << 20:  # hand on what is counted so far; it is added up later
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["word", "n"])
-                    h, n = np.zeros(0, U64), np.zeros(0, np.int64)
-        h, n = merged(h, n, waiting)
-        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["word", "n"])
-
-    counted = docs.select("text").where("text is not null").mapInArrow(count, "word long, n long")
-    top = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size - 2).collect()
+        yield held, ids, null, spelled
+
+
+def _counted(it: Iterator[pa.RecordBatch], keys_of) -> Iterator[pa.RecordBatch]:
+    """(key, n) of what keys_of(texts) gives as keys and numbers, added up as far as memory goes."""
+    sums, waiting, many = (np.zeros(0, np.int64), np.zeros(0, np.int64)), [], 0
+    batch = lambda: pa.RecordBatch.from_arrays([pa.array(x) for x in sums], ["key", "n"])
+    for _, texts in tc.batches(it):
+        waiting.append(keys_of(texts))
+        many += len(waiting[-1][0])
+        if many > 1 << 20:
+            sums = _added(*map(np.concatenate, zip(sums, *waiting)))
+            waiting, many = [], 0
+            if len(sums[0]) > 1 << 20:  # hand on what is counted so far; it is added up later
+                yield batch()
+                sums = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    sums = _added(*map(np.concatenate, zip(sums, *waiting)))
+    yield batch()
+
+
+def vocabulary(docs: DataFrame, share: float = SHARE) -> np.ndarray:
+    """Hashes of the words that occur sqrt(words of all documents) / share times or more, and twice; most frequent first."""
+
+    def keys_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        w = tc.Words(texts).hash.view(np.int64)
+        return w, np.ones(len(w), np.int64)
+
+    counted = docs.select("text").where("text is not null").mapInArrow(lambda it: _counted(it, keys_of), "key long, n long")
+    counted = materialize(counted.groupBy("key").agg(F.sum("n").alias("n")), "words")
+    words = counted.agg(F.sum("n")).first()[0] or 0
+    top = counted.where(F.col("n") >= max(2, math.sqrt(words) / share)).orderBy(F.desc("n"), "key").collect()
     return np.array([r[0] for r in top], np.int64).view(U64)
 
 
+def spelling(docs: DataFrame, model: Model) -> Spelling:
+    """Letters of the words beyond the model's vocabulary, counted over all documents."""
+    sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(Model(model.hashes, model.ids, {})))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = pickle.loads(sent.value)
+
+        def keys_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+            _, keys, owner, inverse = _unknown(m, tc.Words(texts, spans=True))
+            return keys, np.bincount(inverse)[owner]
+
+        yield from _counted(it, keys_of)
+
+    counted = docs.select("text").where("text is not null").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    got = counted.toArrow()
+    return Spelling(got["key"].to_numpy(), got["n"].to_numpy())
+
+
 def _averaged(models: DataFrame) -> bytes:
     """Average of rows (block, weight, values) over tasks, as bytes of float32 in order of blocks; empty without rows."""
 
@@ -326,10 +439,11 @@ def _averaged(models: DataFrame) -> bytes:
     return b"".join(r[1] for r in sorted(done.collect()))
 
 
-def fit(docs: DataFrame, rounds: int = ROUNDS, vocabulary_size: int = VOCABULARY, classes: int = CLASSES, width: int = WIDTH, rate: float = RATE) -> Model:
+def fit(docs: DataFrame, rounds: int = ROUNDS, share: float = SHARE, width: int = WIDTH, rate: float = RATE) -> Model:
     """Train on all documents; see the module's text."""
     text = docs.select(F.col("text").cast("string").alias("text")).where("text is not null")
-    model = fresh(vocabulary(text, vocabulary_size), vocabulary_size, classes, width)
+    model = fresh(vocabulary(text, share), width=width)
+    model.spelling = spelling(text, model)
     shapes = [(k, model.params[k].shape) for k in NAMES]
     blocks = 32
     for turn in range(rounds):
@@ -337,13 +451,13 @@ def fit(docs: DataFrame, rounds: int = ROUNDS, vocabulary_size: int = VOCABULARY
 
         def run(it: Iterator[pa.RecordBatch], sent=sent, turn=turn) -> Iterator[pa.RecordBatch]:
             start = pickle.loads(sent.value)
-            p, seen = train(start, (ids for _, ids, _ in _batches(it, start, "text")), rate / (1 + turn))
+            p, seen = train(start, (ids for _, ids, _, _ in _batches(it, start, "text")), rate / (1 + turn))
             if seen:
                 parts = np.array_split(np.concatenate([p[k].reshape(-1) for k in NAMES]), blocks)
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(blocks, dtype=np.int32)), pa.array([float(seen)] * blocks), pa.array([x.tobytes() for x in parts], pa.binary())], ["block", "weight", "values"])
 
-        share = text.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == turn)
-        flat = np.frombuffer(_averaged(share.mapInArrow(run, "block int, weight double, values binary")), f4)
+        part = text.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == turn)
+        flat = np.frombuffer(_averaged(part.mapInArrow(run, "block int, weight double, values binary")), f4)
         if len(flat):
             cut = np.cumsum([0, *(int(np.prod(s)) for _, s in shapes)])
             model.params = {k: flat[a:z].reshape(s).copy() for (k, s), a, z in zip(shapes, cut, cut[1:])}
@@ -356,8 +470,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = pickle.loads(sent.value)
-        for held, ids, null in _batches(it, m, "text"):
-            ll = log_likelihoods(m, ids)
+        for held, ids, null, spelled in _batches(it, m, "text", True):
+            ll = log_likelihoods(m, ids) + np.array(spelled)
             n = np.array([len(x) for x in ids])
             none = np.array(null)
             doc = pa.chunked_array([b.column(0) for b in held]).combine_chunks()

@@ -378,6 +378,29 @@ def test_language_model_learns_and_carries_state(spark):
     assert recurrent_lm.score(test, recurrent_lm.fit(test.limit(0))).count() == 4
 
 
+def test_language_model_vocabulary_grows_and_rare_words_are_spelled(spark):
+    rng = random.Random(5)
+    small, large = (rows(spark, [prose(rng, 400) for _ in range(n)]) for n in (20, 500))
+    sizes = [len(recurrent_lm.vocabulary(df)) for df in (small, large)]
+    assert sizes[0] < sizes[1] > 2046
+    model = recurrent_lm.fit(small)
+    got = [r.log_likelihood for r in recurrent_lm.score(rows(spark, ["w1 w31311", "w1 w31312 ", "w1 \u0436\u0444", "w1 zq\u0436\u0444yx"]), model).orderBy("doc_id").collect()]
+    assert got[0] > got[2] > got[3] and got[1] > got[3]
+    # letters' probabilities are a distribution, after seen and unseen letters
+    letters = np.append(0, np.flatnonzero(tc._tables()[0]))
+    for a, b in (("w", "1"), ("\0", "w"), ("\0", "\0"), ("\u0436", "1"), ("w", "\u0444")):
+        assert abs(model.spelling.probability((ord(a) << 42) | (ord(b) << 21) | letters).sum() - 1) < 1e-9
+
+
+def test_language_model_spells_every_letter():
+    texts = ["Abc x", "", None, "abd \U00020000"]
+    words = tc.Words(texts, spans=True)
+    keys, owner = recurrent_lm._letters(words, np.arange(4))
+    want = [tuple(map(ord, t)) for w in words_of("abc x abd \U00020000") for t in zip("\0\0" + w, "\0" + w, w + "\0")]
+    assert [(k >> 42, k >> 21 & 0x1FFFFF, k & 0x1FFFFF) for k in keys.tolist()] == want
+    assert owner.tolist() == [0] * 4 + [1] * 2 + [2] * 4 + [3] * 2
+
+
 def test_jpeg_and_avi_round_trip():
     g = np.random.default_rng(0)
     picture = np.clip(128 + 60 * np.sin(np.arange(40)[:, None] / 6 + np.arange(50)[None, :] / 9) + g.normal(0, 3, (40, 50)), 0, 255).astype(np.uint8)
