@@ -13,11 +13,12 @@ words in the corpus and interpolated (Witten-Bell) down to a uniform one over al
 numbers of Unicode, so every word has one of its own.  No count is cut off.  Spellings of words
 of the vocabulary are not left out, so a little of the unknown word's probability is lost.
 
-Training.  Truncated backpropagation through ``WINDOW`` steps with Adagrad, in numpy, on
+Training.  Truncated backpropagation through ``WINDOW`` steps (up to ``LONGER`` times more, as lanes run out) with Adagrad, in numpy, on
 every document of the corpus: each document takes part in one of ``ROUNDS`` rounds, chosen by
 a hash of its text.  In a round each task starts from the round's model and runs over its documents, all
-lanes in step with their state carried from window to window (and cleared between documents; a document longer than
-a lane goes on in another lane, so that lanes stay full); the models are then averaged,
+lanes in step.  A document is read whole in one lane, its state carried from window to window
+and cleared only where it ends; a lane that is done takes the task's next document, until none is
+left.  That doesn't depend on the sizes of batches.  The models are then averaged,
 weighted by the words seen.  The average is a distributed sum over blocks of parameters, so
 what reaches the driver is one model.
 
@@ -49,9 +50,11 @@ from .common import groups, materialize, table
 SHARE = 32
 WIDTH = 16
 WINDOW = 16
+#: Times WINDOW that a training window may span when few lanes are left.
+LONGER = 16
 ROUNDS = 2
 RATE = 0.1
-#: Words of a batch and lanes it is laid out in; a long document fills a lane alone, so batches are large.
+#: Words of a batch to score and lanes; a long document fills a lane alone, so batches are large.
 BATCH = 1_200_000
 LANES = 512
 U64 = np.uint64
@@ -199,6 +202,37 @@ def _windows(ids: list[np.ndarray], lanes: int = LANES) -> Iterator[Window]:
         yield Window(read[at], flat[at], (~starts[at]).astype(f4), step < long[None, :n], doc[at])
 
 
+def _refilled(docs: Iterator[np.ndarray], lanes: int = LANES) -> Iterator[tuple[np.ndarray, Window]]:
+    """Documents in the order they come, each whole in one lane; a lane that is done takes the next, and when none is left windows get longer.  (lanes of the window before that go on, window)."""
+    rest: list[np.ndarray] = [np.zeros(0, np.int64)] * lanes  # words to foresee, END last
+    last, own = [END] * lanes, [0] * lanes
+    live, taken, first = list(range(lanes)), 0, 0
+    while live:
+        steps = WINDOW * min(LONGER, max(1, first // len(live)))
+        source, target, doc = (np.zeros((len(live), steps), np.int64) for _ in range(3))
+        go_on, valid = np.ones((len(live), steps), f4), np.zeros((len(live), steps), bool)
+        for i, k in enumerate(live):
+            t = 0
+            while t < steps:
+                if not len(rest[k]):
+                    ids = next(docs, None)
+                    if ids is None:
+                        break
+                    rest[k], last[k] = np.append(ids, END).astype(np.int64), END
+                    go_on[i, t] = 0
+                    own[k], taken = taken, taken + 1
+                now = rest[k][: steps - t]
+                z = t + len(now)
+                source[i, t], source[i, t + 1 : z], target[i, t:z], valid[i, t:z], doc[i, t:z] = last[k], now[:-1], now, True, own[k]
+                rest[k], last[k], t = rest[k][len(now) :], now[-1], z
+        some = np.flatnonzero(valid[:, 0])
+        if not len(some):
+            return
+        first = first or len(some)
+        yield some, Window(source[some].T, target[some].T, go_on[some].T, valid[some].T, doc[some].T)
+        live = [live[i] for i in some]
+
+
 def _forward(p: dict, h: np.ndarray, x: Window, keep: bool):
     """States after each step, and what the backward pass needs."""
     steps, n = x.source.shape
@@ -306,23 +340,19 @@ def train(model: Model, lists: Iterator[list[np.ndarray]], rate: float = RATE) -
     """(parameters after a pass over the lists, words seen), from the model's parameters."""
     p = {k: v.copy() for k, v in model.params.items()}
     square = {k: np.full_like(v, 1e-3) for k, v in p.items()}
-    seen, w = 0, p["gate_state"].shape[0]
-    for ids in lists:
-        state, most = None, max(4 * WINDOW, sum(map(len, ids)) // LANES)
-        ids = [part for x in ids for part in (np.split(x, range(most, len(x), most)) if len(x) > most else [x])]
-        for x in _windows(ids):
-            n = x.source.shape[1]
-            _, g, state = gradients(p, np.zeros((n, w), f4) if state is None else state[:n], x)
-            words = int(x.valid.sum())
-            seen += words
-            classes = np.unique(x.target[x.valid] // p["word_out"].shape[1])
-            touched = {"embed": np.unique(x.source), "word_out": classes, "word_bias": classes}
-            for k, d in g.items():
-                at = touched.get(k, slice(None))  # elsewhere gradients are 0 and nothing changes
-                d = np.clip(d[at] * f4(64 / words), -1, 1)
-                square[k][at] += d * d
-                d /= np.sqrt(square[k][at])
-                p[k][at] -= d * f4(rate)
+    seen, most, state = 0, 0, np.zeros((LANES, p["gate_state"].shape[0]), f4)
+    for lanes, x in _refilled(ids for some in lists for ids in some):
+        _, g, state = gradients(p, state[lanes], x)
+        words = int(x.valid.sum())
+        seen, most = seen + words, max(most, words)
+        classes = np.unique(x.target[x.valid] // p["word_out"].shape[1])
+        touched = {"embed": np.unique(x.source), "word_out": classes, "word_bias": classes}
+        for k, d in g.items():
+            at = touched.get(k, slice(None))  # elsewhere gradients are 0 and nothing changes
+            d = np.clip(d[at] * f4(64 / most), -1, 1)  # a window of few words counts less
+            square[k][at] += d * d
+            d /= np.sqrt(square[k][at])
+            p[k][at] -= d * f4(rate)
     return p, seen
 
 

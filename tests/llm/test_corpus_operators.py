@@ -392,6 +392,27 @@ def test_language_model_vocabulary_grows_and_rare_words_are_spelled(spark):
         assert abs(model.spelling.probability((ord(a) << 42) | (ord(b) << 21) | letters).sum() - 1) < 1e-9
 
 
+def test_language_model_trains_on_whole_documents():
+    g = np.random.default_rng(4)
+    docs = [g.integers(2, 40, n) for n in (0, 3, 700, 15, 16, 17, 1, 40, 5000, 2)]
+    read, lane_of, place = {}, {}, np.arange(3)
+    for lanes, x in recurrent_lm._refilled(iter(docs), lanes=3):
+        place = place[lanes]
+        for k in range(x.source.shape[1]):
+            for t in np.flatnonzero(x.valid[:, k]):
+                d = int(x.doc[t, k])
+                assert lane_of.setdefault(d, place[k]) == place[k]
+                assert x.source[t, k] == (read[d][-1] if d in read else recurrent_lm.END)
+                assert (x.go_on[t, k] == 0) == (d not in read)
+                read.setdefault(d, []).append(int(x.target[t, k]))
+    assert [read[d] for d in range(len(docs))] == [[*x.tolist(), recurrent_lm.END] for x in docs]
+    # what is learned doesn't depend on batches: one of all documents, and one for each
+    model = recurrent_lm.fresh(np.sort(g.integers(1, 1 << 60, 38).astype(np.uint64)), width=5)
+    (one, n), (each, m) = recurrent_lm.train(model, iter([docs])), recurrent_lm.train(model, iter([x] for x in docs))
+    assert n == m == sum(map(len, docs)) + len(docs)
+    assert all(np.array_equal(one[k], each[k]) for k in recurrent_lm.NAMES)
+
+
 def test_language_model_spells_every_letter():
     texts = ["Abc x", "", None, "abd \U00020000"]
     words = tc.Words(texts, spans=True)
