@@ -211,22 +211,22 @@ def _give_back() -> None:
         trim(0)
 
 
-def batches(it: Iterable, column: str = "text", keep: bool = False) -> Iterator[tuple[object, list[str | None]]]:
-    """Arrow record batches cut into pieces of about PIECE bytes of text, with their texts; ``keep`` leaves ``held`` alone."""
+def batches(it: Iterable, column: str = "text", keep: bool = False, limit: int = PIECE) -> Iterator[tuple[object, list[str | None]]]:
+    """Arrow record batches cut into pieces of about so many bytes of text, with their texts; ``keep`` leaves ``held`` alone."""
     if not keep and held:
         held.clear()
-    yield from _pieces(it, column)
+    yield from _pieces(it, column, limit)
     _give_back()
 
 
-def _pieces(it: Iterable, column: str) -> Iterator[tuple[object, list[str | None]]]:
+def _pieces(it: Iterable, column: str, limit: int) -> Iterator[tuple[object, list[str | None]]]:
     for batch in it:
         texts = batch.column(batch.schema.get_field_index(column))
         size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
         a = 0
         while a < len(texts):
             done = size[a - 1] if a else 0
-            z = max(a + 1, int(np.searchsorted(size, done + PIECE, side="right")))
+            z = max(a + 1, int(np.searchsorted(size, done + limit, side="right")))
             yield batch.slice(a, z - a), texts.slice(a, z - a).to_pylist()
             a = z
 

@@ -263,6 +263,73 @@ def test_bpe_is_that_of_another_library(spark):
     assert bpe.encode(df.limit(0), bpe.load()).count() == 0
 
 
+def test_bpe_cuts_are_those_of_the_pattern():
+    rng = random.Random(7)
+    alphabet = "abé的 \n\t\xa0\x1c\u3000.,!''sledrvtmSLED123٣😀"
+    texts = ["", "'", "it's", "we'll've 'd x'sa ''s  's\n's", "'re", "x'r", "'s'", "a's's"] + ["".join(rng.choice(alphabet) for _ in range(rng.randrange(60))) for _ in range(3000)]
+    raw, begin, first = bpe._cut(texts)
+    got = [raw[a:z].decode() for a, z in zip(begin, begin[1:])]
+    find = bpe.regex.compile(bpe.PATTERN).findall
+    assert [got[a:z] for a, z in zip(first, first[1:])] == [find(t) for t in texts]
+
+
+def test_bpe_encodes_together_as_alone():
+    """Small vocabularies with many dead ends: all pieces together, each alone, and merging by rank."""
+    rng = random.Random(8)
+    for _ in range(12):
+        tokens = [bytes([i]) for i in range(256)]
+        while len(tokens) < 300:
+            t = rng.choice(tokens[97:100] + tokens[256:]) + rng.choice(tokens[97:100] + tokens[256:])
+            if t not in tokens and (len(t) == 2 or bpe._merge_of(t, {x: i for i, x in enumerate([*tokens, t])})):
+                tokens.append(t)
+        vocab = bpe.vocabulary(tokens)
+        ranks = {t: i for i, t in enumerate(tokens)}
+        assert vocab.split.min() >= 0
+
+        def merged(data):
+            parts = [data[i : i + 1] for i in range(len(data))]
+            while len(parts) > 1:
+                r, i = min((ranks.get(parts[i] + parts[i + 1], 1 << 30), i) for i in range(len(parts) - 1))
+                if r == 1 << 30:
+                    break
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            return [ranks[p] for p in parts]
+
+        data = [bytes(rng.choice(b"abc") for _ in range(rng.randrange(1, 40))) for _ in range(150)]
+        ids, at = vocab.encoder.pieces(np.frombuffer(b"".join(data), np.uint8), np.concatenate(([0], np.cumsum([len(d) for d in data]))))
+        for d, a, z in zip(data, at, at[1:]):
+            assert ids[a:z].tolist() == merged(d) == vocab.encoder.piece(d)
+
+
+def test_bpe_cases(spark):
+    df = spark.createDataFrame([(None, "same text", "x", 1), (3, "same text", "x", 1), (3, "same text", "x", 1), (4, None, "x", 1), (5, "", "x", 1)], "doc_id long, text string, token_ids string, n_tokens long")
+    got = bpe.encode(df, bpe.load()).collect()
+    same = [tuple(r.token_ids) for r in got if r.token_ids]
+    assert len(got) == 5 and len(same) == 3 and len(set(same)) == 1 and sorted(str(r.doc_id) for r in got) == ["3", "3", "4", "5", "None"]
+    assert [r.token_ids for r in got if r.doc_id == 5] == [[]] and [r.round_trip for r in got if r.doc_id == 4] == [None]
+    other = bpe.vocabulary([bytes([i]) for i in range(256)], r"\w+|\W+")
+    assert [r.token_ids for r in bpe.encode(df.where("doc_id = 3"), other).collect()] == [list(b"same text")] * 2
+
+
+def test_huffman_cases(spark):
+    df = spark.createDataFrame([(None, [3, 3, 5]), (1, [3, 3, 5]), (1, [3, 3, 5]), (2, [])], "doc_id long, token_ids array<int>")
+    got = huffman.encode(df, huffman.fit(df)).collect()
+    assert len({bytes(r.payload) for r in got if r.n_ids}) == 1 and all(r.round_trip for r in got) and len(got) == 4
+    with pytest.raises(Exception, match="negative id"):
+        huffman.fit(df.selectExpr("doc_id", "array(-1) token_ids"))
+
+
+def test_huffman_lengths_at_a_binding_limit():
+    """Every choice of lengths that obeys the limit and Kraft's inequality, tried out."""
+    rng = random.Random(9)
+    for _ in range(30):
+        n, limit = rng.randrange(3, 7), 3
+        counts = np.array([rng.choice([1, 1, 2, 3, 50, 1000]) for _ in range(n)])
+        best = min(sum(c * x for c, x in zip(counts, lengths)) for lengths in itertools.product(range(1, limit + 1), repeat=n) if sum(2.0**-x for x in lengths) <= 1)
+        got = huffman.code_lengths(counts, limit)
+        assert got.max() <= limit and (2.0**-got).sum() <= 1 and (got * counts).sum() == best
+
+
 def test_huffman_round_trip_and_optimum(spark, tmp_path):
     rng = np.random.default_rng(8)
     lists = [rng.zipf(1.4, n).clip(max=3000).tolist() for n in (0, 1, 255, 256, 257, 5000)] + [None, [7]]
