@@ -1,14 +1,16 @@
 """N-gram Jaccard join by MinHash banding, and removal of near duplicates.
 
 Semantics.  A document is the set of its word n-grams (see textcore; a text of 1 to n-1
-words has one n-gram, all of it).  Documents with equal sets form a class.  The join gives
+words has one n-gram, all of it).  Documents with equal sets form a class, named by its least
+doc_id.  Two classes are linked if their Jaccard similarity is at least ``threshold``.
 
-* for each class of two or more documents a row (ids, ids, 1.0), and
-* for each pair of classes whose Jaccard similarity is at least ``threshold`` a row
-  (ids of one, ids of the other, similarity), the side with the least doc_id first.
+* ``jaccard_links`` has a row for each document that has a copy or a link: doc_id, class_id,
+  n_copies (documents of its class) and n_links (documents of all classes linked to its own).
+* ``jaccard_join`` has a row for each link: doc_id_a, doc_id_b (the names of the two classes,
+  the less first) and jaccard.
+* ``duplicates`` and ``deduplicate`` keep one document of each group that links connect.
 
-Every document of one list therefore matches every document of the other.  Lists keep the
-result linear for exact copies, where listing each pair would be quadratic.
+Copies aren't expanded into pairs, so what they add is linear.
 
 Cases.  Null and empty texts, and texts without letters or digits, have no n-grams and match
 nothing.  Rows with a null doc_id match nothing; deduplication keeps them.  Rows that repeat
@@ -16,12 +18,14 @@ a doc_id are one document with the n-gram sets of each row; they stay or go toge
 columns are ignored by the join and untouched by deduplication, whatever their names.  An
 empty table gives an empty result.
 
-Plan.  Signatures are computed in one pass without a shuffle.  Classes, then band hashes are
-shuffled (8 bytes a band and class), each bucket yields a star of edges rather than its
-pairs, and stars are contracted to candidate components.  Only texts of documents in a
-component are read again; they meet in tasks of at most two blocks of ``BLOCK`` classes, so
-a large component is spread over many tasks, and are compared exactly by blocked matrix
-products over their n-grams.  No candidate or partner is capped.
+Plan.  Signatures are computed in one pass without a shuffle.  Equal sets are grouped, then
+band hashes are counted (with partial sums) and joined back where several classes share one: a
+*bucket*, of which no list is ever made.  Each class has a home, its fullest bucket; homes are
+cut into blocks of about ``BLOCK`` classes, and a class is sent to each pair of blocks in which
+some bucket brings it together with another.  There all sets are compared exactly by
+blocked matrix products.  So near copies meet in a few tasks however many bands they share,
+what is sent grows with the pairs that share a band and not with what they are connected to,
+and no bucket, candidate or partner is capped.
 """
 
 from __future__ import annotations
@@ -39,13 +43,14 @@ from .common import components, groups, materialize, small, table
 
 N = 3
 THRESHOLD = 0.5
-RECALL = 0.95
-#: Classes in a block of a component.
-BLOCK = 1024
+RECALL = 0.999
+#: Rows of a band, and classes in a block.
+ROWS = 3
+BLOCK = 512
 U64 = np.uint64
 
 
-def bands_for(threshold: float, recall: float, rows: int = 4) -> tuple[int, int]:
+def bands_for(threshold: float, recall: float, rows: int = ROWS) -> tuple[int, int]:
     """(bands, rows): the fewest bands of so many rows that a pair at the threshold shares with the given probability."""
     if not 0 < threshold <= 1 or not 0 < recall < 1:
         raise ValueError("threshold and recall must lie between 0 and 1")
@@ -101,28 +106,35 @@ def _signatures(n: int, bands: int, rows: int):
     return run
 
 
-def classes(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """One row for each distinct n-gram set: key, its sorted doc_ids and its band hashes."""
-    sig = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null").mapInArrow(_signatures(n, bands, rows), "doc_id long, key long, bands array<long>")
-    return sig.groupBy("key").agg(F.sort_array(F.collect_set("doc_id")).alias("ids"), F.first("bands").alias("bands"))
+def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
+    """(doc_id, key of the n-gram set, band hashes) of each document that has n-grams."""
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    return slim.mapInArrow(_signatures(n, bands, rows), "doc_id long, key long, bands array<long>")
+
+
+def classes(signed: DataFrame) -> DataFrame:
+    """(key, class_id, band hashes) of each distinct n-gram set."""
+    return signed.groupBy("key").agg(F.min("doc_id").alias("class_id"), F.first("bands").alias("bands"))
 
 
 def candidates(cls: DataFrame, block: int) -> DataFrame:
-    """(key, ids, root, lo, hi): the classes of each candidate component, copied to each pair of blocks that they are compared in."""
+    """(key, class_id, own, lo, hi): each class with its block, for each pair of blocks that it is compared in."""
     banded = cls.select("key", F.explode("bands").alias("band"))
-    met = banded.groupBy("band").agg(F.min("key").alias("b"), F.collect_list("key").alias("keys")).where(F.size("keys") > 1)
-    edges = met.select(F.explode("keys").alias("a"), "b").where("a <> b")
-    comp = materialize(components(edges), "components")
-    sizes = comp.groupBy("root").agg(F.count("*").alias("size"))
-    member = comp.join(sizes, "root").withColumn("blocks", F.ceil(F.col("size") / F.lit(block)).cast("int"))
-    member = member.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    pairs = member.select("node", "root", "own", other).select(F.col("node").alias("key"), "root", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own")
-    return cls.select("key", "ids").join(pairs, "key")
+    full = small(materialize(banded.groupBy("band").agg(F.count("*").alias("m")).where("m > 1"), "buckets"))
+    hits = materialize(banded.join(full, "band"), "hits")
+    home = hits.groupBy("key").agg(F.max(F.struct("m", "band")).alias("top")).select("key", F.col("top.band").alias("home"))
+    homes = home.groupBy("home").agg(F.ceil(F.count("*") / F.lit(block)).alias("blocks"))
+    own = F.xxhash64("home", F.pmod(F.xxhash64("key"), F.col("blocks"))).alias("own")
+    placed = materialize(home.join(homes, "home").select("key", own), "blocks")
+    here = hits.select("band", "key").join(small(placed), "key")
+    there = here.groupBy("band", F.col("own").alias("other")).agg(F.count("*").alias("many"))
+    met = here.join(there, "band").where("own <> other or many > 1")
+    pairs = met.select("key", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")).distinct()
+    return pairs.join(cls.select("key", "class_id"), "key")
 
 
 def _verify(n: int, threshold: float, emit: str):
-    """Compare the classes of each (root, lo, hi) exactly; emit rows of pairs, or edges that span each group."""
+    """Compare the classes of each (lo, hi) exactly; emit pairs, what each class gains in links, or edges that span each group."""
 
     def rows_of(group: pa.Table) -> Iterator[tuple[int, int, float]]:
         """Pairs at or over the threshold: positions in the group, in columns sorted by key."""
@@ -162,25 +174,28 @@ def _verify(n: int, threshold: float, emit: str):
         return i[good], j[good], jac[good]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in groups(it, "root", "lo", "hi"):
+        for group in groups(it, "lo", "hi"):
             _, once = np.unique(group["key"].to_numpy(), return_index=True)
             group = group.take(pa.array(once))
             if group.num_rows < 2:
                 continue
             i, j, jac = rows_of(group)
+            if not len(i):
+                continue
+            key = group["key"].to_numpy()
             if emit == "edges":
                 i, j = _forest(group.num_rows, i, j)
-                key = group["key"].to_numpy()
-                if len(i):
-                    yield pa.RecordBatch.from_arrays([pa.array(key[i]), pa.array(key[j])], ["a", "b"])
-                continue
-            ids = group["ids"].combine_chunks()
-            head = np.array([x[0].as_py() for x in ids], np.int64)
-            swap = head[i] > head[j]
-            i, j = np.where(swap, j, i), np.where(swap, i, j)
-            for a in range(0, len(i), 1 << 15):
-                z = a + (1 << 15)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(i[a:z])), ids.take(pa.array(j[a:z])), pa.array(np.round(jac[a:z], 6))], ["doc_ids_a", "doc_ids_b", "jaccard"])
+                yield pa.RecordBatch.from_arrays([pa.array(key[i]), pa.array(key[j])], ["a", "b"])
+            elif emit == "links":
+                n_docs = group["n_copies"].to_numpy()
+                n = np.bincount(i, n_docs[j], len(key)) + np.bincount(j, n_docs[i], len(key))
+                some = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(key[some]), pa.array(n[some].astype(np.int64))], ["key", "n"])
+            else:
+                own = group["class_id"].to_numpy()
+                for a in range(0, len(i), 1 << 16):
+                    x, y = own[i[a : a + (1 << 16)]], own[j[a : a + (1 << 16)]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(np.round(jac[a : a + (1 << 16)], 6))], ["doc_id_a", "doc_id_b", "jaccard"])
 
     return run
 
@@ -200,6 +215,10 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return own, label[own]
 
 
+#: Of a class in a pair of blocks.
+_CAND = ("key", "class_id", "n_copies", "own", "lo", "hi")
+
+
 def _sets(n: int):
     """Recompute the n-gram sets of candidate documents; rows whose set isn't the class's are other rows of a repeated doc_id."""
 
@@ -218,40 +237,51 @@ def _sets(n: int):
             sizes = np.diff(bound)[pick]
             data = [v[bound[k] : bound[k + 1]].tobytes() for k in pick]
             kept = part.take(pa.array(pick))
-            yield pa.RecordBatch.from_arrays([kept.column(kept.schema.get_field_index(c)) for c in ("key", "ids", "root", "lo", "hi", "own")] + [pa.array(sizes.astype(np.int32)), pa.array(data, pa.binary())], ["key", "ids", "root", "lo", "hi", "own", "size", "values"])
+            yield pa.RecordBatch.from_arrays([kept.column(kept.schema.get_field_index(c)) for c in _CAND] + [pa.array(sizes.astype(np.int32)), pa.array(data, pa.binary())], [*_CAND, "size", "values"])
 
     return run
 
 
-def _compared(docs: DataFrame, cls: DataFrame, n: int, threshold: float, emit: str, block: int) -> DataFrame:
-    cand = materialize(candidates(cls, block).withColumn("doc_id", F.col("ids")[0]), "candidates")
-    if emit == "edges":
-        cand = cand.withColumn("ids", F.slice("ids", 1, 1))
+def _compared(docs: DataFrame, cls: DataFrame, copies: DataFrame | None, n: int, threshold: float, emit: str, block: int) -> DataFrame:
+    cand = candidates(cls, block)
+    cand = materialize(cand.withColumn("n_copies", F.lit(1).cast("long")) if copies is None else cand.join(copies, "key"), "candidates")
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    weight = cand.agg(F.coalesce(F.sum(F.size("ids") + 4), F.lit(0))).first()[0]  # lists of ids count by their length
-    with_text = text.join(small(cand, weight), "doc_id").select("key", "ids", "root", "lo", "hi", "own", "text")
-    spread = with_text.repartition("root", "lo", "hi")
-    kind = "key long, ids array<long>, root long, lo int, hi int, own int, size int, values binary"
-    sets = spread.mapInArrow(_sets(n), kind).sortWithinPartitions("root", "lo", "hi", "key")
-    return sets.mapInArrow(_verify(n, threshold, emit), "a long, b long" if emit == "edges" else "doc_ids_a array<long>, doc_ids_b array<long>, jaccard double")
+    with_text = text.join(small(cand), text["doc_id"] == cand["class_id"]).select(*_CAND, "text")
+    kind = "key long, class_id long, n_copies long, own long, lo long, hi long, size int, values binary"
+    sets = with_text.repartition("lo", "hi").mapInArrow(_sets(n), kind).sortWithinPartitions("lo", "hi", "key")
+    return sets.mapInArrow(_verify(n, threshold, emit), {"edges": "a long, b long", "links": "key long, n long", "pairs": "doc_id_a long, doc_id_b long, jaccard double"}[emit])
+
+
+def _begin(docs: DataFrame, n: int, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, key) of all documents, and the classes."""
+    signed = materialize(signatures(docs, n, *bands_for(threshold, recall)), "signatures")
+    return signed.select("doc_id", "key").distinct(), materialize(classes(signed), "classes")
 
 
 def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
-    """(doc_ids_a, doc_ids_b, jaccard) of all matching documents; see the module's text."""
-    bands, rows = bands_for(threshold, recall)
-    cls = materialize(classes(docs, n, bands, rows), "classes")
-    same = cls.where(F.size("ids") > 1).select(F.col("ids").alias("doc_ids_a"), F.col("ids").alias("doc_ids_b"), F.lit(1.0).alias("jaccard"))
-    return same.unionByName(_compared(docs, cls, n, threshold, "pairs", block))
+    """(doc_id_a, doc_id_b, jaccard) of all linked classes; see the module's text."""
+    _, cls = _begin(docs, n, threshold, recall)
+    return _compared(docs, cls, None, n, threshold, "pairs", block)
+
+
+def jaccard_links(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+    """(doc_id, class_id, n_copies, n_links) of documents with copies or links; see the module's text."""
+    members, cls = _begin(docs, n, threshold, recall)
+    copies = materialize(members.groupBy("key").agg(F.count("*").alias("n_copies")), "copies")
+    links = _compared(docs, cls, copies, n, threshold, "links", block).groupBy("key").agg(F.sum("n").alias("n_links"))
+    found = cls.select("key", "class_id").join(copies, "key").join(links, "key", "left").where("n_copies > 1 or n_links > 0")
+    found = materialize(found.select("key", "class_id", "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "linked")
+    return members.join(small(found), "key").select("doc_id", "class_id", "n_copies", "n_links")
 
 
 def duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
     """(doc_id, keeper): each document that goes, with the document of its group (linked by matches) that stays, the least doc_id."""
-    bands, rows = bands_for(threshold, recall)
-    cls = materialize(classes(docs, n, bands, rows), "classes")
-    linked = materialize(components(_compared(docs, cls, n, threshold, "edges", block)), "groups")
-    member = cls.select("key", "ids").join(linked, cls["key"] == linked["node"], "left").select(F.coalesce("root", "key").alias("root"), "ids")
-    keeper = member.groupBy("root").agg(F.min(F.col("ids")[0]).alias("keeper"), F.count("*").alias("n"), F.max(F.size("ids")).alias("most")).where("n > 1 or most > 1")
-    return member.join(keeper, "root").select(F.explode("ids").alias("doc_id"), "keeper").where("doc_id <> keeper").groupBy("doc_id").agg(F.min("keeper").alias("keeper"))
+    members, cls = _begin(docs, n, threshold, recall)
+    linked = materialize(components(_compared(docs, cls, None, n, threshold, "edges", block)), "groups")
+    own = cls.select("key", "class_id").join(linked, cls["key"] == linked["node"], "left").select("key", "class_id", F.coalesce("root", "key").alias("root"))
+    keeper = own.groupBy("root").agg(F.min("class_id").alias("keeper"))
+    keepers = materialize(own.join(keeper, "root").select("key", "keeper"), "keepers")
+    return members.join(keepers, "key").where("doc_id <> keeper").groupBy("doc_id").agg(F.min("keeper").alias("keeper"))
 
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
@@ -261,7 +291,7 @@ def deduplicate(docs: DataFrame, **options) -> DataFrame:
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join(table(spark, sf_dir, "documents"))
+    return jaccard_links(table(spark, sf_dir, "documents"))
 
 
 SQL = rf"""
@@ -275,8 +305,10 @@ cls AS (
 grams AS (SELECT k, unnest(g) AS gram FROM cls),
 shared AS (
   SELECT a.k AS ka, b.k AS kb, count(*) AS c FROM grams a JOIN grams b ON a.gram = b.gram AND a.k < b.k GROUP BY 1, 2)
-SELECT ids AS doc_ids_a, ids AS doc_ids_b, CAST(1 AS DOUBLE) AS jaccard FROM cls WHERE len(ids) > 1
-UNION ALL
-SELECT x.ids, y.ids, round(c / (len(x.g) + len(y.g) - c), 6)
-FROM shared JOIN cls x ON x.k = ka JOIN cls y ON y.k = kb WHERE c / (len(x.g) + len(y.g) - c) >= {THRESHOLD}
+links AS (
+  SELECT ka, kb FROM shared JOIN cls x ON x.k = ka JOIN cls y ON y.k = kb WHERE c / (len(x.g) + len(y.g) - c) >= {THRESHOLD}),
+linked AS (SELECT ka AS k, kb AS other FROM links UNION ALL SELECT kb, ka FROM links),
+n AS (SELECT l.k, sum(len(o.ids)) AS n_links FROM linked l JOIN cls o ON o.k = l.other GROUP BY l.k)
+SELECT unnest(ids) AS doc_id, ids[1] AS class_id, len(ids) AS n_copies, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links
+FROM cls LEFT JOIN n USING (k) WHERE len(ids) > 1 OR n_links > 0
 """

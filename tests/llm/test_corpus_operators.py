@@ -47,9 +47,19 @@ def brute_pairs(texts, threshold=0.5):
 
 
 def joined(df):
+    return {(r.doc_id_a, r.doc_id_b) for r in df.collect()}
+
+
+def brute_links(ids, texts, threshold=0.5):
+    """Rows of jaccard_links, from all pairs of distinct sets."""
+    members = {}
+    for i, t in zip(ids, texts):
+        if i is not None and grams(t):
+            members.setdefault(grams(t), set()).add(i)
     out = set()
-    for r in df.collect():
-        out |= {(min(a, b), max(a, b)) for a in r.doc_ids_a for b in r.doc_ids_b if a != b}
+    for g, own in members.items():
+        links = sum(len(x) for h, x in members.items() if h != g and len(g & h) / len(g | h) >= threshold)
+        out |= {(i, min(own), len(own), links) for i in own if len(own) > 1 or links}
     return out
 
 
@@ -69,12 +79,31 @@ def near():
 
 def test_join_against_brute_force(spark, near):
     want, got = brute_pairs(near), joined(near_duplicates.jaccard_join(rows(spark, near)))
-    assert got <= want
-    assert len(got) >= 0.9 * len(want)
+    first = {}
+    for i, t in enumerate(near):
+        first.setdefault(grams(t), i)
+    assert got == {(i, j) for i, j in want if first[grams(near[i])] == i and first[grams(near[j])] == j and grams(near[i]) != grams(near[j])}
+
 
+def test_links_against_brute_force(spark, near):
+    ids = [*range(len(near)), None, 3, 3, 4]
+    texts = [*near, near[0], near[3], near[7], near[4]]
+    df = spark.createDataFrame(list(zip(ids, texts, texts)), "doc_id long, text string, key string")
+    want = brute_links(ids, texts)
+    for block in (512, 4):
+        got = [tuple(r) for r in near_duplicates.jaccard_links(df, block=block).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert near_duplicates.jaccard_links(df.limit(0)).count() == near_duplicates.jaccard_join(df.limit(0)).count() == 0
 
-def test_join_in_small_blocks_is_the_same(spark, near):
-    assert joined(near_duplicates.jaccard_join(rows(spark, near), block=4)) == joined(near_duplicates.jaccard_join(rows(spark, near)))
+
+def test_one_hot_band_in_many_blocks(spark):
+    """300 near copies of one document: each of their pairs is found, whatever the blocks."""
+    rng = random.Random(6)
+    base = prose(rng, 60).split()
+    texts = [" ".join(base[:k] + [f"x{i}"] + base[k:]) for i in range(300) for k in [rng.randrange(60)]]
+    got = {r.doc_id: r.n_links for r in near_duplicates.jaccard_links(rows(spark, texts), block=16).collect()}
+    assert got == {i: 299 for i in range(300)} and joined(near_duplicates.jaccard_join(rows(spark, texts), block=50)) == set(itertools.combinations(range(300), 2))
+    assert [r.doc_id for r in near_duplicates.deduplicate(rows(spark, texts), block=16).collect()] == [0]
 
 
 def test_bands_reach_the_recall():
@@ -88,7 +117,7 @@ def test_deduplicate_keeps_one_of_each_group(spark, near):
     assert kept.columns == df.columns
     ids = {r.doc_id for r in kept.collect()}
     assert 0 in ids and not ids & {78, 79}
-    pairs = joined(near_duplicates.jaccard_join(df))
+    pairs = brute_pairs(near)
     assert not [p for p in pairs if p[0] in ids and p[1] in ids]
     alone = set(range(len(near))) - {x for p in pairs for x in p}
     assert alone <= ids
