@@ -304,7 +304,7 @@ cls AS (
   SELECT row_number() OVER (ORDER BY min(doc_id)) AS k, list_sort(list_distinct(list(doc_id))) AS ids, g FROM sets GROUP BY g),
 grams AS (SELECT k, unnest(g) AS gram FROM cls),
 shared AS (
-  SELECT a.k AS ka, b.k AS kb, count(*) AS c FROM grams a JOIN grams b ON a.gram = b.gram AND a.k < b.k GROUP BY 1, 2)
+  SELECT a.k AS ka, b.k AS kb, count(*) AS c FROM grams a JOIN grams b ON a.gram = b.gram AND a.k < b.k GROUP BY 1, 2),
 links AS (
   SELECT ka, kb FROM shared JOIN cls x ON x.k = ka JOIN cls y ON y.k = kb WHERE c / (len(x.g) + len(y.g) - c) >= {THRESHOLD}),
 linked AS (SELECT ka AS k, kb AS other FROM links UNION ALL SELECT kb, ka FROM links),
