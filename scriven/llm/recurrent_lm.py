@@ -3,8 +3,10 @@
 Model.  The vocabulary grows with the corpus: it holds every word (see textcore) that occurs at
 least sqrt(words of the corpus) / ``SHARE`` times, and twice.  An end mark closes every document
 and starts the next.  A gated recurrent unit reads the words; the output is factored, a softmax
-over classes of words, about the square root of the vocabulary, and one over the words of the
-class.  Words are put into classes by frequency rank (ties by hash).
+over classes of words and one over the words of the class.  Words are put into classes by
+frequency rank (ties by hash); a class is full when its number of words times its share of the
+corpus reaches ``FULL``, so frequent words have small classes, rare ones large classes, and the
+words that a step is expected to weigh are about two square roots of what one class would need.
 
 Spelling.  Words beyond the vocabulary are read as one unknown word and then spelled: their
 probability is that of the unknown word times that of their letters, each given the two before
@@ -48,8 +50,12 @@ from . import textcore as tc
 from .common import groups, materialize, table
 
 SHARE = 32
+#: Words of a class times the share of the corpus that they make up.
+FULL = 2.0
 WIDTH = 16
 WINDOW = 16
+#: Rows whose softmax is computed together.
+ROWS = 1024
 #: Times WINDOW that a training window may span when few lanes are left.
 LONGER = 16
 ROUNDS = 2
@@ -124,34 +130,45 @@ def _letters(words: tc.Words, which: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 @dataclass
 class Model:
-    """Parameters; word w belongs to class w // per_class."""
+    """Parameters; class c has the words first[c] to first[c + 1]."""
 
     hashes: np.ndarray  # sorted hashes of known words
     ids: np.ndarray  # their ids
     params: dict[str, np.ndarray]
+    first: np.ndarray
     spelling: Spelling | None = None
 
-    @property
-    def per_class(self) -> int:
-        return self.params["word_out"].shape[1]
+    def __post_init__(self) -> None:
+        self.class_of = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
 END, UNKNOWN = 0, 1
 
 
-def fresh(hashes: np.ndarray, vocabulary: int | None = None, classes: int | None = None, width: int = WIDTH, seed: int = 11) -> Model:
-    """An untrained model; hashes in order of frequency."""
+def class_bounds(n: np.ndarray) -> np.ndarray:
+    """The first word of each class, and their number, from the occurrences of words in order of frequency."""
+    share = np.concatenate(([0], np.cumsum(np.maximum(n, 1) / np.maximum(n, 1).sum())))
+    first = [0]
+    while first[-1] < len(n):
+        a = first[-1]
+        cost = (share[a + 1 :] - share[a]) * np.arange(1, len(n) - a + 1)
+        first.append(a + min(len(n) - a, int(np.searchsorted(cost, FULL)) + 1))
+    return np.array(first)
+
+
+def fresh(hashes: np.ndarray, first: np.ndarray | None = None, width: int = WIDTH, seed: int = 11) -> Model:
+    """An untrained model; hashes in order of frequency, first as from class_bounds for END, UNKNOWN and the hashes."""
     g = np.random.default_rng(seed)
-    vocabulary = vocabulary or len(hashes) + 2
-    classes = classes or math.isqrt(vocabulary - 1) + 1
-    per = -(-vocabulary // classes)
+    size = len(hashes) + 2
+    first = class_bounds(np.ones(size)) if first is None else first
+    classes = len(first) - 1
     draw = lambda *shape: (g.normal(0, 1, shape) / np.sqrt(width)).astype(f4)
     order = np.argsort(hashes)
     params = {
-        "embed": draw(classes * per, width), "gate_in": draw(width, 3 * width), "gate_state": draw(width, 3 * width), "gate_bias": np.zeros(3 * width, f4),
-        "class_out": draw(width, classes), "class_bias": np.zeros(classes, f4), "word_out": draw(classes, per, width), "word_bias": np.zeros((classes, per), f4),
+        "embed": draw(size, width), "gate_in": draw(width, 3 * width), "gate_state": draw(width, 3 * width), "gate_bias": np.zeros(3 * width, f4),
+        "class_out": draw(width, classes), "class_bias": np.zeros(classes, f4), "word_out": draw(size, width), "word_bias": np.zeros(size, f4),
     }
-    return Model(hashes[order], (order + 2).astype(np.int32), params)
+    return Model(hashes[order], (order + 2).astype(np.int32), params, first)
 
 
 def word_ids(model: Model, words: np.ndarray) -> np.ndarray:
@@ -239,7 +256,7 @@ def _forward(p: dict, h: np.ndarray, x: Window, keep: bool):
     w = h.shape[1]
     embedded = p["embed"][x.source.reshape(-1)]
     gx = (embedded @ p["gate_in"] + p["gate_bias"]).reshape(steps, n, 3 * w)
-    states, kept = np.empty((steps, n, w), f4), []
+    states, kept = np.empty((steps, n, w), h.dtype), []
     for t in range(steps):
         h = h * x.go_on[t][:, None]
         a = h @ p["gate_state"]
@@ -257,11 +274,16 @@ def _forward(p: dict, h: np.ndarray, x: Window, keep: bool):
     return states, embedded, kept
 
 
-def _softmax(h: np.ndarray, weight: np.ndarray, own: np.ndarray, back: bool) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
+def _wide(weight: np.ndarray, first: np.ndarray) -> list[bool]:
+    """Whether a group of rows of the weights could make exp overflow; states lie within -1 and 1."""
+    return (np.maximum.reduceat(np.abs(weight) @ np.ones(weight.shape[1], weight.dtype), first) > 60).tolist()
+
+
+def _softmax(h: np.ndarray, weight: np.ndarray, own: np.ndarray, wide: bool, back: bool) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
     """Log-probability of each row's own column; with back also d(-sum)/d of rows and weights.  h ends with a column of ones, weight with the bias."""
     rows = np.arange(len(h))
     e = h @ weight.T
-    if np.abs(weight).sum(axis=1).max() > 60:  # states lie within -1 and 1, so below that nothing overflows
+    if wide:
         e -= e.max(axis=1, keepdims=True)
     mine = e[rows, own]
     np.exp(e, out=e)
@@ -270,29 +292,50 @@ def _softmax(h: np.ndarray, weight: np.ndarray, own: np.ndarray, back: bool) ->
     if not back:
         return mine, None, None
     e[rows, own] -= s
-    return mine, (e @ weight[:, :-1]) / s[:, None], e.T @ (h / s[:, None])
+    h = h / s[:, None]
+    back = e @ weight[:, :-1]
+    back *= h[:, -1:]
+    return mine, back, e.T @ h
+
+
+def _weights(p: dict, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bool], list[bool]]:
+    """Weights with biases of the classes and of the words, and whether any of them is wide."""
+    of_class = np.concatenate((p["class_out"].T, p["class_bias"][:, None]), axis=1)
+    of_word = np.concatenate((p["word_out"], p["word_bias"][:, None]), axis=1)
+    return of_class, of_word, _wide(of_class, np.zeros(1, np.int64)), _wide(of_word, first[:-1])
 
 
-def _output(p: dict, h: np.ndarray, target: np.ndarray, grads: dict | None) -> tuple[np.ndarray, np.ndarray | None]:
+def _output(p: dict, weights: tuple, first: np.ndarray, class_of: np.ndarray, h: np.ndarray, target: np.ndarray, grads: dict | None) -> tuple[np.ndarray, np.ndarray | None]:
     """Log-probability of each target from its state; with grads also d(-sum)/dh, and gradients are stored."""
-    per, learn = p["word_out"].shape[1], grads is not None
-    cls = target // per
-    order = np.argsort(cls, kind="stable")
-    cls, word = cls[order], (target % per)[order]
+    learn = grads is not None
+    cls = class_of[target]
+    order = np.argsort(cls.astype(np.int16) if len(first) < 1 << 15 else cls, kind="stable")
+    cls, word = cls[order], target[order]
     h = np.concatenate((h[order], np.ones((len(h), 1), h.dtype)), axis=1)
-    logp, dh, d = _softmax(h, np.concatenate((p["class_out"].T, p["class_bias"][:, None]), axis=1), cls, learn)
+    logp, dh = np.empty(len(h), h.dtype), np.empty((len(h), h.shape[1] - 1), h.dtype) if learn else None
+    weight, of_word, wide, wides = weights
+    total = np.zeros_like(weight)
+    for a in range(0, len(h), ROWS):
+        logp[a : a + ROWS], back, d = _softmax(h[a : a + ROWS], weight, cls[a : a + ROWS], wide[0], learn)
+        if learn:
+            dh[a : a + ROWS] = back
+            total += d
     if learn:
-        grads["class_out"], grads["class_bias"] = d[:, :-1].T, d[:, -1]
+        grads["class_out"], grads["class_bias"] = total[:, :-1].T, total[:, -1]
         grads["word_out"], grads["word_bias"] = np.zeros_like(p["word_out"]), np.zeros_like(p["word_bias"])
-    cut = np.searchsorted(cls, np.arange(p["class_out"].shape[1] + 1)).tolist()
+    cut = np.searchsorted(cls, np.arange(len(first))).tolist()
     for c, (a, z) in enumerate(zip(cut, cut[1:])):
-        if a == z:
+        u, v = int(first[c]), int(first[c + 1])
+        if v - u == 1:  # a word that is a class
             continue
-        own, back, d = _softmax(h[a:z], np.concatenate((p["word_out"][c], p["word_bias"][c][:, None]), axis=1), word[a:z], learn)
-        logp[a:z] += own
-        if learn:
-            dh[a:z] += back
-            grads["word_out"][c], grads["word_bias"][c] = d[:, :-1], d[:, -1]
+        for a in range(a, z, ROWS):
+            y = min(z, a + ROWS)
+            own, back, d = _softmax(h[a:y], of_word[u:v], word[a:y] - u, wides[c], learn)
+            logp[a:y] += own
+            if learn:
+                dh[a:y] += back
+                grads["word_out"][u:v] += d[:, :-1]
+                grads["word_bias"][u:v] += d[:, -1]
     out = np.empty_like(logp)
     out[order] = logp
     if not learn:
@@ -302,37 +345,49 @@ def _output(p: dict, h: np.ndarray, target: np.ndarray, grads: dict | None) -> t
     return out, back
 
 
-def gradients(p: dict, h: np.ndarray, x: Window) -> tuple[float, dict, np.ndarray]:
+def gradients(model: Model, p: dict, h: np.ndarray, x: Window) -> tuple[float, dict, np.ndarray]:
     """(-log-likelihood of the window, its gradients with the entering state fixed, leaving state)."""
     w, g = h.shape[1], {}
     states, embedded, kept = _forward(p, h, x, True)
     ok = np.flatnonzero(x.valid)
-    logp, back = _output(p, states.reshape(-1, w)[ok], x.target.reshape(-1)[ok], g)
-    dh_all = np.zeros((x.valid.size, w), f4)
+    logp, back = _output(p, _weights(p, model.first), model.first, model.class_of, states.reshape(-1, w)[ok], x.target.reshape(-1)[ok], g)
+    dh_all = np.zeros((x.valid.size, w), states.dtype)
     dh_all[ok] = back
     dh_all = dh_all.reshape(states.shape)
-    dgx = np.empty((*x.source.shape, 3 * w), f4)
-    g["gate_state"] = np.zeros_like(p["gate_state"])
+    da, befores = np.empty((*x.source.shape, 3 * w), states.dtype), np.empty(states.shape, states.dtype)
+    dn_all = np.empty(states.shape, states.dtype)
+    turn = np.ascontiguousarray(p["gate_state"].T)
     dh = np.zeros_like(h)
     for t in range(len(x.source) - 1, -1, -1):
         before, z, r, new, an = kept[t]
-        dh = dh + dh_all[t]
-        dn = dh * (1 - z)
-        dz = dn * (before - new) * z
-        dn *= 1 - new * new
-        dr = dn * an * r * (1 - r)
-        dgx[t, :, :w], dgx[t, :, w : 2 * w], dgx[t, :, 2 * w :] = dz, dr, dn
-        da = np.concatenate((dz, dr, dn * r), axis=1)
-        g["gate_state"] += before.T @ da
-        dh = (dh * z + da @ p["gate_state"].T) * x.go_on[t][:, None]
-    flat = dgx.reshape(-1, 3 * w)
+        dh += dh_all[t]
+        dn, step = dn_all[t], da[t]
+        rest = 1 - z
+        np.multiply(dh, rest, out=dn)
+        dz = before - new
+        dz *= dn
+        np.multiply(dz, z, out=step[:, :w])
+        np.multiply(new, new, out=rest)
+        np.subtract(1, rest, out=rest)
+        dn *= rest
+        np.multiply(dn, r, out=step[:, 2 * w :])
+        np.multiply(dn, an, out=dz)
+        dz *= r
+        np.subtract(1, r, out=rest)
+        np.multiply(dz, rest, out=step[:, w : 2 * w])
+        befores[t] = before
+        dh *= z
+        dh += step @ turn
+        dh *= x.go_on[t][:, None]
+    flat = da.reshape(-1, 3 * w)
+    g["gate_state"] = befores.reshape(-1, w).T @ flat
+    flat[:, 2 * w :] = dn_all.reshape(-1, w)
     g["gate_in"], g["gate_bias"] = embedded.T @ flat, flat.sum(axis=0)
     dx = flat @ p["gate_in"].T
     ids = x.source.reshape(-1)
     order = np.argsort(ids, kind="stable")
     first = np.flatnonzero(np.diff(ids[order], prepend=-1))
-    g["embed"] = np.zeros_like(p["embed"])
-    g["embed"][ids[order[first]]] = np.add.reduceat(dx[order], first, axis=0)
+    g["embed"] = ids[order[first]], np.add.reduceat(dx[order], first, axis=0)
     return -float(logp.sum()), g, states[-1]
 
 
@@ -342,33 +397,48 @@ def train(model: Model, lists: Iterator[list[np.ndarray]], rate: float = RATE) -
     square = {k: np.full_like(v, 1e-3) for k, v in p.items()}
     seen, most, state = 0, 0, np.zeros((LANES, p["gate_state"].shape[0]), f4)
     for lanes, x in _refilled(ids for some in lists for ids in some):
-        _, g, state = gradients(p, state[lanes], x)
+        _, g, state = gradients(model, p, state[lanes], x)
         words = int(x.valid.sum())
         seen, most = seen + words, max(most, words)
-        classes = np.unique(x.target[x.valid] // p["word_out"].shape[1])
-        touched = {"embed": np.unique(x.source), "word_out": classes, "word_bias": classes}
         for k, d in g.items():
-            at = touched.get(k, slice(None))  # elsewhere gradients are 0 and nothing changes
-            d = np.clip(d[at] * f4(64 / most), -1, 1)  # a window of few words counts less
-            square[k][at] += d * d
-            d /= np.sqrt(square[k][at])
-            p[k][at] -= d * f4(rate)
+            at = slice(None)
+            if k == "embed":  # elsewhere gradients are 0 and nothing changes
+                at, d = d
+            d *= f4(64 / most)  # a window of few words counts less
+            np.clip(d, -1, 1, out=d)
+            own = square[k][at] + d * d
+            square[k][at] = own
+            np.sqrt(own, out=own)
+            d /= own
+            d *= f4(rate)
+            p[k][at] -= d
     return p, seen
 
 
 def log_likelihoods(model: Model, ids: list[np.ndarray]) -> np.ndarray:
     """Natural log of the probability of each whole word list with its end mark."""
     p, w = model.params, model.params["gate_state"].shape[0]
-    out, state = np.zeros(len(ids)), None
+    out, state, waiting, many = np.zeros(len(ids)), None, [], 0
     if not len(ids):
         return out
+    weights = _weights(p, model.first)
+
+    def add() -> None:
+        h, target, doc = map(np.concatenate, zip(*waiting))
+        np.add(out, np.bincount(doc, _output(p, weights, model.first, model.class_of, h, target, None)[0], len(ids)), out=out)
+
     for x in _windows(ids):
         n = x.source.shape[1]
         states, _, _ = _forward(p, np.zeros((n, w), f4) if state is None else state[:n], x, False)
         state = states[-1]
         ok = np.flatnonzero(x.valid)
-        logp, _ = _output(p, states.reshape(-1, w)[ok], x.target.reshape(-1)[ok], None)
-        out += np.bincount(x.doc.reshape(-1)[ok], logp, len(ids))
+        waiting.append((states.reshape(-1, w)[ok], x.target.reshape(-1)[ok], x.doc.reshape(-1)[ok]))
+        many += len(ok)
+        if many >= 1 << 15:
+            add()
+            waiting, many = [], 0
+    if waiting:
+        add()
     return out
 
 
@@ -422,8 +492,8 @@ def _counted(it: Iterator[pa.RecordBatch], keys_of) -> Iterator[pa.RecordBatch]:
     yield batch()
 
 
-def vocabulary(docs: DataFrame, share: float = SHARE) -> np.ndarray:
-    """Hashes of the words that occur sqrt(words of all documents) / share times or more, and twice; most frequent first."""
+def vocabulary(docs: DataFrame, share: float = SHARE) -> tuple[np.ndarray, np.ndarray, int]:
+    """Hashes of the words that occur sqrt(words of all documents) / share times or more, and twice, most frequent first; how often; all words."""
 
     def keys_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         w = tc.Words(texts).hash.view(np.int64)
@@ -433,12 +503,12 @@ def vocabulary(docs: DataFrame, share: float = SHARE) -> np.ndarray:
     counted = materialize(counted.groupBy("key").agg(F.sum("n").alias("n")), "words")
     words = counted.agg(F.sum("n")).first()[0] or 0
     top = counted.where(F.col("n") >= max(2, math.sqrt(words) / share)).orderBy(F.desc("n"), "key").collect()
-    return np.array([r[0] for r in top], np.int64).view(U64)
+    return np.array([r[0] for r in top], np.int64).view(U64), np.array([r[1] for r in top], np.int64), int(words)
 
 
 def spelling(docs: DataFrame, model: Model) -> Spelling:
     """Letters of the words beyond the model's vocabulary, counted over all documents."""
-    sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(Model(model.hashes, model.ids, {})))
+    sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(Model(model.hashes, model.ids, {}, model.first)))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = pickle.loads(sent.value)
@@ -472,7 +542,8 @@ def _averaged(models: DataFrame) -> bytes:
 def fit(docs: DataFrame, rounds: int = ROUNDS, share: float = SHARE, width: int = WIDTH, rate: float = RATE) -> Model:
     """Train on all documents; see the module's text."""
     text = docs.select(F.col("text").cast("string").alias("text")).where("text is not null")
-    model = fresh(vocabulary(text, share), width=width)
+    hashes, many, words = vocabulary(text, share)
+    model = fresh(hashes, class_bounds(np.concatenate(([1, words - many.sum()], many))), width=width)
     model.spelling = spelling(text, model)
     shapes = [(k, model.params[k].shape) for k in NAMES]
     blocks = 32

@@ -440,23 +440,64 @@ def test_kept_lines_against_brute_force():
 def test_gradients_by_differences():
     g = np.random.default_rng(2)
     hashes = np.sort(g.integers(1, 1 << 60, 30).astype(np.uint64))
-    model = recurrent_lm.fresh(hashes, vocabulary=32, classes=4, width=5)
+    model = recurrent_lm.fresh(hashes, np.array([0, 3, 4, 14, 32]), width=5)
     p = {k: v.astype(np.float64) for k, v in model.params.items()}
     windows = list(recurrent_lm._windows([g.integers(0, 30, 9), g.integers(0, 30, 4)], lanes=2))
     h = np.zeros((2, 5))
-    _, grads, _ = recurrent_lm.gradients(p, h, windows[0])
+    _, grads, _ = recurrent_lm.gradients(model, p, h, windows[0])
+    dense = np.zeros_like(p["embed"])
+    dense[grads["embed"][0]] = grads["embed"][1]
+    grads["embed"] = dense
     for name in recurrent_lm.NAMES:
         flat = p[name].reshape(-1)
         k = int(np.argmax(np.abs(grads[name].reshape(-1))))
         keep, eps = flat[k], 1e-5
         flat[k] = keep + eps
-        up = recurrent_lm.gradients(p, h, windows[0])[0]
+        up = recurrent_lm.gradients(model, p, h, windows[0])[0]
         flat[k] = keep - eps
-        down = recurrent_lm.gradients(p, h, windows[0])[0]
+        down = recurrent_lm.gradients(model, p, h, windows[0])[0]
         flat[k] = keep
         assert abs((up - down) / (2 * eps) - grads[name].reshape(-1)[k]) <= 2e-2 * max(1, abs(grads[name].reshape(-1)[k])), name
 
 
+def test_likelihood_against_brute_force():
+    """Word by word, with the whole vocabulary's probabilities: they are a distribution and give the documents' likelihoods."""
+    g = np.random.default_rng(5)
+    n = np.sort(g.integers(1, 400, 28))[::-1]
+    model = recurrent_lm.fresh(np.sort(g.integers(1, 1 << 60, 28).astype(np.uint64)), recurrent_lm.class_bounds(np.concatenate(([1, 50], n))), width=6)
+    assert len(model.first) > 3 and model.first[-1] == 30
+    p = {k: v.astype(np.float64) for k, v in model.params.items()}
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+
+    def softmax(v):
+        return np.exp(v - v.max()) / np.exp(v - v.max()).sum()
+
+    def probabilities(h):
+        out, classes = np.zeros(30), softmax(h @ p["class_out"] + p["class_bias"])
+        for c, (a, z) in enumerate(zip(model.first, model.first[1:])):
+            out[a:z] = classes[c] * softmax(p["word_out"][a:z] @ h + p["word_bias"][a:z])
+        assert abs(out.sum() - 1) < 1e-9
+        return out
+
+    docs, want = [g.integers(1, 30, k) for k in (0, 1, 40, 7, 700, 16)], []
+    for d in docs:
+        h, last, total = np.zeros(6), recurrent_lm.END, 0.0
+        for word in [*d.tolist(), recurrent_lm.END]:
+            x, a = p["embed"][last] @ p["gate_in"] + p["gate_bias"], h @ p["gate_state"]
+            z, r = sigmoid(x[:6] + a[:6]), sigmoid(x[6:12] + a[6:12])
+            new = np.tanh(x[12:] + r * a[12:])
+            h, last = z * h + (1 - z) * new, word
+            total += np.log(probabilities(h)[word])
+        want.append(total)
+    assert np.allclose(recurrent_lm.log_likelihoods(model, docs), want, rtol=1e-4)
+
+
+def test_language_model_cases(spark):
+    df = spark.createDataFrame([(None, "one two three", "x"), (1, "one two three", "x"), (1, "one two three", "x"), (2, None, "x")], "doc_id long, text string, n_words string")
+    got = recurrent_lm.score(df, recurrent_lm.fit(df)).collect()
+    assert len(got) == 4 and len({round(r.log_likelihood, 3) for r in got if r.log_likelihood}) == 1 and sorted(str(r.doc_id) for r in got) == ["1", "1", "2", "None"]
+
+
 def test_language_model_learns_and_carries_state(spark):
     rng = random.Random(3)
     cycle = "alpha beta gamma delta epsilon".split()
@@ -477,7 +518,7 @@ def test_language_model_learns_and_carries_state(spark):
 def test_language_model_vocabulary_grows_and_rare_words_are_spelled(spark):
     rng = random.Random(5)
     small, large = (rows(spark, [prose(rng, 400) for _ in range(n)]) for n in (20, 500))
-    sizes = [len(recurrent_lm.vocabulary(df)) for df in (small, large)]
+    sizes = [len(recurrent_lm.vocabulary(df)[0]) for df in (small, large)]
     assert sizes[0] < sizes[1] > 2046
     model = recurrent_lm.fit(small)
     got = [r.log_likelihood for r in recurrent_lm.score(rows(spark, ["w1 w31311", "w1 w31312 ", "w1 \u0436\u0444", "w1 zq\u0436\u0444yx"]), model).orderBy("doc_id").collect()]
