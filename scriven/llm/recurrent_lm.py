@@ -5,8 +5,8 @@ least sqrt(words of the corpus) / ``SHARE`` times, and twice.  An end mark close
 and starts the next.  A gated recurrent unit reads the words; the output is factored, a softmax
 over classes of words and one over the words of the class.  Words are put into classes by
 frequency rank (ties by hash); a class is full when its number of words times its share of the
-corpus reaches ``FULL``, so frequent words have small classes, rare ones large classes, and the
-words that a step is expected to weigh are about two square roots of what one class would need.
+corpus reaches ``FULL``, so frequent words have small classes, rare ones large classes, and a
+step is expected to weigh as many words of a class as there are classes.
 
 Spelling.  Words beyond the vocabulary are read as one unknown word and then spelled: their
 probability is that of the unknown word times that of their letters, each given the two before
@@ -51,7 +51,7 @@ from .common import groups, materialize, table
 
 SHARE = 32
 #: Words of a class times the share of the corpus that they make up.
-FULL = 2.0
+FULL = 1.0
 WIDTH = 16
 WINDOW = 16
 #: Rows whose softmax is computed together.
@@ -65,7 +65,7 @@ BATCH = 1_200_000
 LANES = 512
 U64 = np.uint64
 f4 = np.float32
-NAMES = ("embed", "gate_in", "gate_state", "gate_bias", "class_out", "class_bias", "word_out", "word_bias")
+NAMES = ("embed", "gate_in", "gate_state", "gate_bias", "class_out", "word_out")
 
 
 def _added(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -166,8 +166,9 @@ def fresh(hashes: np.ndarray, first: np.ndarray | None = None, width: int = WIDT
     order = np.argsort(hashes)
     params = {
         "embed": draw(size, width), "gate_in": draw(width, 3 * width), "gate_state": draw(width, 3 * width), "gate_bias": np.zeros(3 * width, f4),
-        "class_out": draw(width, classes), "class_bias": np.zeros(classes, f4), "word_out": draw(size, width), "word_bias": np.zeros(size, f4),
+        "class_out": draw(classes, width + 1), "word_out": draw(size, width + 1),
     }
+    params["class_out"][:, -1] = params["word_out"][:, -1] = 0  # the biases
     return Model(hashes[order], (order + 2).astype(np.int32), params, first)
 
 
@@ -178,10 +179,6 @@ def word_ids(model: Model, words: np.ndarray) -> np.ndarray:
     return np.where(model.hashes[at] == words, model.ids[at], UNKNOWN).astype(np.int32)
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
-
-
 @dataclass
 class Window:
     """Some steps of the lanes that go on; all arrays are (steps, lanes)."""
@@ -250,30 +247,53 @@ def _refilled(docs: Iterator[np.ndarray], lanes: int = LANES) -> Iterator[tuple[
         live = [live[i] for i in some]
 
 
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    """In place."""
+    np.negative(x, out=x)
+    with np.errstate(over="ignore"):
+        np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
 def _forward(p: dict, h: np.ndarray, x: Window, keep: bool):
-    """States after each step, and what the backward pass needs."""
+    """States (steps, width, lanes) after each step, and what the backward pass needs; lanes lie along the last axis so that each part is contiguous."""
     steps, n = x.source.shape
-    w = h.shape[1]
-    embedded = p["embed"][x.source.reshape(-1)]
-    gx = (embedded @ p["gate_in"] + p["gate_bias"]).reshape(steps, n, 3 * w)
-    states, kept = np.empty((steps, n, w), h.dtype), []
+    w = len(h)
+    embedded = p["embed"][x.source.reshape(-1)].reshape(steps, n, w).transpose(0, 2, 1)
+    gx = p["gate_in"].T @ embedded
+    gx += p["gate_bias"][:, None]
+    turn = np.ascontiguousarray(p["gate_state"].T)
+    states, kept = np.empty((steps, w, n), h.dtype), []
     for t in range(steps):
-        h = h * x.go_on[t][:, None]
-        a = h @ p["gate_state"]
-        zr = gx[t, :, : 2 * w] + a[:, : 2 * w]
-        np.negative(zr, out=zr)
-        np.exp(zr, out=zr)
-        zr += 1
-        np.reciprocal(zr, out=zr)
-        z, r = zr[:, :w], zr[:, w:]
-        new = np.tanh(gx[t, :, 2 * w :] + r * a[:, 2 * w :])
+        h = h * x.go_on[t]
+        a = turn @ h
+        zr = gx[t, : 2 * w]
+        zr += a[: 2 * w]
+        z, r = _sigmoid(zr)[:w], zr[w:]
+        new = r * a[2 * w :]
+        new += gx[t, 2 * w :]
+        new *= 2
+        new = _sigmoid(new)  # the hyperbolic tangent
+        new *= 2
+        new -= 1
         if keep:
-            kept.append((h, z, r, new, a[:, 2 * w :]))
-        h = new + z * (h - new)
+            kept.append((h, z, r, new, a[2 * w :]))
+        h = h - new
+        h *= z
+        h += new
         states[t] = h
     return states, embedded, kept
 
 
+def _rows(states: np.ndarray, ok: np.ndarray) -> np.ndarray:
+    """The states of some steps and lanes as rows that end with a one."""
+    w = states.shape[1]
+    out = np.ones((len(ok), w + 1), states.dtype)
+    out[:, :w] = states.transpose(0, 2, 1).reshape(-1, w)[ok]
+    return out
+
+
 def _wide(weight: np.ndarray, first: np.ndarray) -> list[bool]:
     """Whether a group of rows of the weights could make exp overflow; states lie within -1 and 1."""
     return (np.maximum.reduceat(np.abs(weight) @ np.ones(weight.shape[1], weight.dtype), first) > 60).tolist()
@@ -293,36 +313,25 @@ def _softmax(h: np.ndarray, weight: np.ndarray, own: np.ndarray, wide: bool, bac
         return mine, None, None
     e[rows, own] -= s
     h = h / s[:, None]
-    back = e @ weight[:, :-1]
+    back = e @ np.ascontiguousarray(weight[:, :-1])
     back *= h[:, -1:]
     return mine, back, e.T @ h
 
 
-def _weights(p: dict, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bool], list[bool]]:
-    """Weights with biases of the classes and of the words, and whether any of them is wide."""
-    of_class = np.concatenate((p["class_out"].T, p["class_bias"][:, None]), axis=1)
-    of_word = np.concatenate((p["word_out"], p["word_bias"][:, None]), axis=1)
-    return of_class, of_word, _wide(of_class, np.zeros(1, np.int64)), _wide(of_word, first[:-1])
-
-
-def _output(p: dict, weights: tuple, first: np.ndarray, class_of: np.ndarray, h: np.ndarray, target: np.ndarray, grads: dict | None) -> tuple[np.ndarray, np.ndarray | None]:
-    """Log-probability of each target from its state; with grads also d(-sum)/dh, and gradients are stored."""
-    learn = grads is not None
-    cls = class_of[target]
+def _output(model: Model, p: dict, wide: tuple, h: np.ndarray, target: np.ndarray, grads: dict | None) -> tuple[np.ndarray, np.ndarray | None]:
+    """Log-probability of each target from its state with a one; with grads also d(-sum)/dh, and gradients are stored."""
+    learn, first = grads is not None, model.first
+    cls = model.class_of[target]
     order = np.argsort(cls.astype(np.int16) if len(first) < 1 << 15 else cls, kind="stable")
-    cls, word = cls[order], target[order]
-    h = np.concatenate((h[order], np.ones((len(h), 1), h.dtype)), axis=1)
+    cls, word, h = cls[order], target[order], h[order]
     logp, dh = np.empty(len(h), h.dtype), np.empty((len(h), h.shape[1] - 1), h.dtype) if learn else None
-    weight, of_word, wide, wides = weights
-    total = np.zeros_like(weight)
+    if learn:
+        grads["class_out"], grads["word_out"] = np.zeros_like(p["class_out"]), np.zeros_like(p["word_out"])
     for a in range(0, len(h), ROWS):
-        logp[a : a + ROWS], back, d = _softmax(h[a : a + ROWS], weight, cls[a : a + ROWS], wide[0], learn)
+        logp[a : a + ROWS], back, d = _softmax(h[a : a + ROWS], p["class_out"], cls[a : a + ROWS], wide[0][0], learn)
         if learn:
             dh[a : a + ROWS] = back
-            total += d
-    if learn:
-        grads["class_out"], grads["class_bias"] = total[:, :-1].T, total[:, -1]
-        grads["word_out"], grads["word_bias"] = np.zeros_like(p["word_out"]), np.zeros_like(p["word_bias"])
+            grads["class_out"] += d
     cut = np.searchsorted(cls, np.arange(len(first))).tolist()
     for c, (a, z) in enumerate(zip(cut, cut[1:])):
         u, v = int(first[c]), int(first[c + 1])
@@ -330,12 +339,11 @@ def _output(p: dict, weights: tuple, first: np.ndarray, class_of: np.ndarray, h:
             continue
         for a in range(a, z, ROWS):
             y = min(z, a + ROWS)
-            own, back, d = _softmax(h[a:y], of_word[u:v], word[a:y] - u, wides[c], learn)
+            own, back, d = _softmax(h[a:y], p["word_out"][u:v], word[a:y] - u, wide[1][c], learn)
             logp[a:y] += own
             if learn:
                 dh[a:y] += back
-                grads["word_out"][u:v] += d[:, :-1]
-                grads["word_bias"][u:v] += d[:, -1]
+                grads["word_out"][u:v] += d
     out = np.empty_like(logp)
     out[order] = logp
     if not learn:
@@ -345,45 +353,47 @@ def _output(p: dict, weights: tuple, first: np.ndarray, class_of: np.ndarray, h:
     return out, back
 
 
+def _all_wide(model: Model, p: dict) -> tuple[list[bool], list[bool]]:
+    return _wide(p["class_out"], np.zeros(1, np.int64)), _wide(p["word_out"], model.first[:-1])
+
+
 def gradients(model: Model, p: dict, h: np.ndarray, x: Window) -> tuple[float, dict, np.ndarray]:
-    """(-log-likelihood of the window, its gradients with the entering state fixed, leaving state)."""
-    w, g = h.shape[1], {}
+    """(-log-likelihood of the window, its gradients with the entering state (width, lanes) fixed, leaving state)."""
+    w, g = len(h), {}
+    (steps, n), dtype = x.source.shape, h.dtype
     states, embedded, kept = _forward(p, h, x, True)
     ok = np.flatnonzero(x.valid)
-    logp, back = _output(p, _weights(p, model.first), model.first, model.class_of, states.reshape(-1, w)[ok], x.target.reshape(-1)[ok], g)
-    dh_all = np.zeros((x.valid.size, w), states.dtype)
+    logp, back = _output(model, p, _all_wide(model, p), _rows(states, ok), x.target.reshape(-1)[ok], g)
+    dh_all = np.zeros((x.valid.size, w), dtype)
     dh_all[ok] = back
-    dh_all = dh_all.reshape(states.shape)
-    da, befores = np.empty((*x.source.shape, 3 * w), states.dtype), np.empty(states.shape, states.dtype)
-    dn_all = np.empty(states.shape, states.dtype)
-    turn = np.ascontiguousarray(p["gate_state"].T)
-    dh = np.zeros_like(h)
-    for t in range(len(x.source) - 1, -1, -1):
+    dh_all = np.ascontiguousarray(dh_all.reshape(steps, n, w).transpose(0, 2, 1))
+    da, befores, dn_all = np.empty((steps, 3 * w, n), dtype), np.empty((steps, w, n), dtype), np.empty((steps, w, n), dtype)
+    dh, rest, dz = np.zeros_like(h), np.empty_like(h), np.empty_like(h)
+    for t in range(steps - 1, -1, -1):
         before, z, r, new, an = kept[t]
         dh += dh_all[t]
         dn, step = dn_all[t], da[t]
-        rest = 1 - z
+        np.subtract(1, z, out=rest)
         np.multiply(dh, rest, out=dn)
-        dz = before - new
+        np.subtract(before, new, out=dz)
         dz *= dn
-        np.multiply(dz, z, out=step[:, :w])
+        np.multiply(dz, z, out=step[:w])
         np.multiply(new, new, out=rest)
         np.subtract(1, rest, out=rest)
         dn *= rest
-        np.multiply(dn, r, out=step[:, 2 * w :])
+        np.multiply(dn, r, out=step[2 * w :])
         np.multiply(dn, an, out=dz)
         dz *= r
         np.subtract(1, r, out=rest)
-        np.multiply(dz, rest, out=step[:, w : 2 * w])
+        np.multiply(dz, rest, out=step[w : 2 * w])
         befores[t] = before
         dh *= z
-        dh += step @ turn
-        dh *= x.go_on[t][:, None]
-    flat = da.reshape(-1, 3 * w)
-    g["gate_state"] = befores.reshape(-1, w).T @ flat
-    flat[:, 2 * w :] = dn_all.reshape(-1, w)
-    g["gate_in"], g["gate_bias"] = embedded.T @ flat, flat.sum(axis=0)
-    dx = flat @ p["gate_in"].T
+        dh += p["gate_state"] @ step
+        dh *= x.go_on[t]
+    g["gate_state"] = (befores @ da.transpose(0, 2, 1)).sum(axis=0)
+    da[:, 2 * w :] = dn_all
+    g["gate_in"], g["gate_bias"] = (embedded @ da.transpose(0, 2, 1)).sum(axis=0), da.sum(axis=(0, 2))
+    dx = (da.transpose(0, 2, 1) @ p["gate_in"].T).reshape(-1, w)
     ids = x.source.reshape(-1)
     order = np.argsort(ids, kind="stable")
     first = np.flatnonzero(np.diff(ids[order], prepend=-1))
@@ -395,9 +405,9 @@ def train(model: Model, lists: Iterator[list[np.ndarray]], rate: float = RATE) -
     """(parameters after a pass over the lists, words seen), from the model's parameters."""
     p = {k: v.copy() for k, v in model.params.items()}
     square = {k: np.full_like(v, 1e-3) for k, v in p.items()}
-    seen, most, state = 0, 0, np.zeros((LANES, p["gate_state"].shape[0]), f4)
+    seen, most, state = 0, 0, np.zeros((p["gate_state"].shape[0], LANES), f4)
     for lanes, x in _refilled(ids for some in lists for ids in some):
-        _, g, state = gradients(model, p, state[lanes], x)
+        _, g, state = gradients(model, p, state[:, lanes], x)
         words = int(x.valid.sum())
         seen, most = seen + words, max(most, words)
         for k, d in g.items():
@@ -421,18 +431,18 @@ def log_likelihoods(model: Model, ids: list[np.ndarray]) -> np.ndarray:
     out, state, waiting, many = np.zeros(len(ids)), None, [], 0
     if not len(ids):
         return out
-    weights = _weights(p, model.first)
+    wide = _all_wide(model, p)
 
     def add() -> None:
         h, target, doc = map(np.concatenate, zip(*waiting))
-        np.add(out, np.bincount(doc, _output(p, weights, model.first, model.class_of, h, target, None)[0], len(ids)), out=out)
+        np.add(out, np.bincount(doc, _output(model, p, wide, h, target, None)[0], len(ids)), out=out)
 
     for x in _windows(ids):
         n = x.source.shape[1]
-        states, _, _ = _forward(p, np.zeros((n, w), f4) if state is None else state[:n], x, False)
+        states, _, _ = _forward(p, np.zeros((w, n), f4) if state is None else state[:, :n], x, False)
         state = states[-1]
         ok = np.flatnonzero(x.valid)
-        waiting.append((states.reshape(-1, w)[ok], x.target.reshape(-1)[ok], x.doc.reshape(-1)[ok]))
+        waiting.append((_rows(states, ok), x.target.reshape(-1)[ok], x.doc.reshape(-1)[ok]))
         many += len(ok)
         if many >= 1 << 15:
             add()

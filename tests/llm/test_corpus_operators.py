@@ -443,7 +443,7 @@ def test_gradients_by_differences():
     model = recurrent_lm.fresh(hashes, np.array([0, 3, 4, 14, 32]), width=5)
     p = {k: v.astype(np.float64) for k, v in model.params.items()}
     windows = list(recurrent_lm._windows([g.integers(0, 30, 9), g.integers(0, 30, 4)], lanes=2))
-    h = np.zeros((2, 5))
+    h = np.zeros((5, 2))
     _, grads, _ = recurrent_lm.gradients(model, p, h, windows[0])
     dense = np.zeros_like(p["embed"])
     dense[grads["embed"][0]] = grads["embed"][1]
@@ -466,6 +466,7 @@ def test_likelihood_against_brute_force():
     n = np.sort(g.integers(1, 400, 28))[::-1]
     model = recurrent_lm.fresh(np.sort(g.integers(1, 1 << 60, 28).astype(np.uint64)), recurrent_lm.class_bounds(np.concatenate(([1, 50], n))), width=6)
     assert len(model.first) > 3 and model.first[-1] == 30
+    model.params["word_out"][:, -1] = g.normal(size=30)
     p = {k: v.astype(np.float64) for k, v in model.params.items()}
     sigmoid = lambda v: 1 / (1 + np.exp(-v))
 
@@ -473,9 +474,9 @@ def test_likelihood_against_brute_force():
         return np.exp(v - v.max()) / np.exp(v - v.max()).sum()
 
     def probabilities(h):
-        out, classes = np.zeros(30), softmax(h @ p["class_out"] + p["class_bias"])
+        out, classes = np.zeros(30), softmax(p["class_out"] @ np.append(h, 1))
         for c, (a, z) in enumerate(zip(model.first, model.first[1:])):
-            out[a:z] = classes[c] * softmax(p["word_out"][a:z] @ h + p["word_bias"][a:z])
+            out[a:z] = classes[c] * softmax(p["word_out"][a:z] @ np.append(h, 1))
         assert abs(out.sum() - 1) < 1e-9
         return out
 
