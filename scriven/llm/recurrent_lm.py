@@ -60,6 +60,8 @@ ROWS = 1024
 LONGER = 16
 ROUNDS = 2
 RATE = 0.1
+#: Parameters that are averaged together: a task reads one block of every model at a time.
+BLOCK = 1 << 14
 #: Words of a batch to score and lanes; a long document fills a lane alone, so batches are large.
 BATCH = 1_200_000
 LANES = 512
@@ -556,7 +558,7 @@ def fit(docs: DataFrame, rounds: int = ROUNDS, share: float = SHARE, width: int
     model = fresh(hashes, class_bounds(np.concatenate(([1, words - many.sum()], many))), width=width)
     model.spelling = spelling(text, model)
     shapes = [(k, model.params[k].shape) for k in NAMES]
-    blocks = 32
+    blocks = -(-sum(int(np.prod(s)) for _, s in shapes) // BLOCK)
     for turn in range(rounds):
         sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
 
