@@ -158,12 +158,41 @@ def notice(budget: int) -> str:
     return f"// cut to fit a budget of {budget} tokens\n"
 
 
-def within_budget(text: Column, budget: int) -> Column:
+def notice_of(budget: Column) -> Column:
+    """notice() of a column."""
+    return F.concat(F.lit("// cut to fit a budget of "), budget.cast("string"), F.lit(" tokens\n"))
+
+
+def head_within(text: str, budget: int, count) -> str:
+    """The text if count(text) fits, else its longest prefix of whole lines that does, and a notice.
+
+    A longer prefix is taken to have no fewer tokens, so the prefix is found by halving.
+    """
+    if count(text) <= budget:
+        return text
+    ends, at = [0], 0
+    for line in split_lines(text):  # where each line ends in the prefix, each with one line feed
+        at += len(line) + 1
+        ends.append(at)
+    whole = "".join(line + "\n" for line in split_lines(text))
+    lo, hi = 0, len(ends) - 1
+    reach = 1
+    while reach < hi and count(whole[: ends[reach]]) <= budget:
+        lo, reach = reach, reach * 2
+    hi = min(hi, reach)
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        lo, hi = (mid, hi) if count(whole[: ends[mid]]) <= budget else (lo, mid - 1)
+    return whole[: ends[lo]] + notice(budget)
+
+
+def within_budget(text: Column, budget: int | Column) -> Column:
     """The text if its approximate tokens fit, else its longest prefix of whole lines that does, and a notice.
 
     The count adds up over lines, so one fold over line lengths finds the prefix.
     """
-    limit = F.lit(budget * CHARS).cast("long")
+    budget = budget if isinstance(budget, Column) else F.lit(budget)
+    limit = budget.cast("long") * CHARS
 
     def prefix(all_lines: Column) -> Column:
         start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("kept"), F.lit(True).alias("open"))
@@ -174,6 +203,6 @@ def within_budget(text: Column, budget: int) -> Column:
             return F.struct(used.alias("used"), (acc["kept"] + fits.cast("int")).alias("kept"), fits.alias("open"))
 
         n = F.aggregate(all_lines, start, step)["kept"]
-        return F.concat(L.join(F.transform(F.slice(all_lines, F.lit(1), n), lambda x: F.concat(x, F.lit("\n"))), ""), F.lit(notice(budget)))
+        return F.concat(L.join(F.transform(F.slice(all_lines, F.lit(1), n), lambda x: F.concat(x, F.lit("\n"))), ""), notice_of(budget))
 
     return F.when(F.length(text) <= limit, text).otherwise(F.when(text.isNotNull(), L.bind(L.lines(text), prefix)))

@@ -141,7 +141,9 @@ def strip_ruby(text: str) -> str:
         if line.startswith(("=begin", "=end")):
             inside = line.startswith("=begin")
             out.append("")
-        elif inside or (line.lstrip(_WHITE).startswith("#") and not line.startswith("#!")):
+        elif not inside and line.startswith("#!"):
+            out.append(line)
+        elif inside or line.lstrip(_WHITE).startswith("#"):
             out.append("")
         else:
             out.append(_inline(line, "ruby"))

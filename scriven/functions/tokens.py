@@ -13,7 +13,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import LongType, StringType
 
 Counter = Callable[[Column], Column]
 CHARS = 4
@@ -35,15 +35,37 @@ def _encoding(path: str):
     return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def bpe_counter(path: str) -> Counter:
-    """A counter by the vocabulary file (lines of a token in base 64 and its rank), which executors read themselves."""
+class bpe_counter:  # noqa: N801  a function that also keeps budgets
+    """A counter by the vocabulary file (lines of a token in base 64 and its rank), which executors read themselves.
 
-    @F.arrow_udf(LongType())
-    def count(texts: pa.Array) -> pa.Array:
-        enc = _encoding(path)
-        return pa.array([None if t is None else len(enc.encode_ordinary(t)) for t in texts.to_pylist()], pa.int64())
+    ``within(text, budget)`` is the longest prefix of whole lines that has so many of its tokens.
+    """
 
-    return count
+    def __init__(self, path: str):
+        self.path = path
+
+    def __call__(self, text: Column) -> Column:
+        path = self.path
+
+        @F.arrow_udf(LongType())
+        def count(texts: pa.Array) -> pa.Array:
+            enc = _encoding(path)
+            return pa.array([None if t is None else len(enc.encode_ordinary(t)) for t in texts.to_pylist()], pa.int64())
+
+        return count(text)
+
+    def within(self, text: Column, budget: Column) -> Column:
+        from .formats import head_within
+
+        path = self.path
+
+        @F.arrow_udf(StringType())
+        def head(texts: pa.Array, budgets: pa.Array) -> pa.Array:
+            enc = _encoding(path)
+            count = lambda t: len(enc.encode_ordinary(t))
+            return pa.array([t if t is None or n is None else head_within(t, n, count) for t, n in zip(texts.to_pylist(), budgets.to_pylist())], pa.string())
+
+        return head.asNondeterministic()(text, budget)
 
 
 def saved_pct(before: Column, after: Column) -> Column:

@@ -26,38 +26,46 @@ NOT_JSON = "invalid JSON"
 
 
 def _python_step(options: Options):
-    """Rewrites of the rows that go to Python; with ``smart``, their distinct blocks."""
+    """Rewrites of the rows that go to Python; with ``smart``, their distinct blocks.
 
-    def one(text: str, kind: str, lang: str | None) -> str | None:
+    It is marked as not deterministic: its result is then computed once, in a projection of its
+    own, however often later expressions (such as an exact count of tokens) name it.
+    """
+
+    def one(text: str, kind: str, lang: str | None, stubbed: bool, smart: bool) -> str | None:
         if kind == D.JSON:
             return formats.compact_json(text)
         if kind == D.TEXT:
             new = formats.dedup_lines(text)
-        elif options.stubs and lang not in stubs.NOT_STUBBED:
+        elif stubbed and lang not in stubs.NOT_STUBBED:
             new = stubs.stub(text, lang or "generic")
         else:
             new = lexers.strip_text(text, lang, options.strip_docs)
-        return neardup.distinct_blocks(new) if options.smart else new
+        return neardup.distinct_blocks(new) if smart else new
 
     @F.arrow_udf(StringType())
-    def run(texts: pa.Array, kinds: pa.Array, languages: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else one(t, k, x) for t, k, x in zip(texts.to_pylist(), kinds.to_pylist(), languages.to_pylist())], pa.string())
+    def run(texts: pa.Array, kinds: pa.Array, languages: pa.Array, stubbed: pa.Array, smart: pa.Array) -> pa.Array:
+        rows = zip(*(x.to_pylist() for x in (texts, kinds, languages, stubbed, smart)))
+        return pa.array([None if t is None else one(t, *rest) for t, *rest in rows], pa.string())
 
-    return run
+    return run.asNondeterministic()
 
 
-def rewrite(text: Column, kind: Column, language: Column, options: Options = Options()) -> Column:
+def rewrite(text: Column, kind: Column, language: Column, options: Options = Options(), stubbed: Column | None = None, smart: Column | None = None) -> Column:
     """A document's text by its type, near-duplicate blocks dropped if ``smart``.
 
     JSON, logs and diffs have no blank line left, hence one block.  Looking for blocks needs
     Python, so with ``smart`` text and code are rewritten there at once: a row is sent once.
+    ``stubbed`` and ``smart`` are the row's own options, besides those of the run.
     """
+    flag = lambda own, always: F.lit(always) if always or own is None else F.coalesce(own, F.lit(False))
+    wants_stubs, wants_smart = flag(stubbed, options.stubs), flag(smart, options.smart)
     in_python = (kind == D.JSON) | ((kind == D.CODE) & language.isin(*_IN_PYTHON))
-    if options.stubs:
-        in_python = in_python | ((kind == D.CODE) & ~language.isin(*stubs.NOT_STUBBED))
-    if options.smart:
-        in_python = in_python | kind.isin(D.TEXT, D.CODE)
-    out = F.when(kind == D.LOGS, formats.log_collapse(text)).when(kind == D.DIFF, formats.diff_compact(text)).when(in_python, _python_step(options)(F.when(in_python, text), kind, language))
+    if options.stubs or stubbed is not None:
+        in_python = in_python | (wants_stubs & (kind == D.CODE) & ~language.isin(*stubs.NOT_STUBBED))
+    if options.smart or smart is not None:
+        in_python = in_python | (wants_smart & kind.isin(D.TEXT, D.CODE))
+    out = F.when(kind == D.LOGS, formats.log_collapse(text)).when(kind == D.DIFF, formats.diff_compact(text)).when(in_python, _python_step(options)(F.when(in_python, text), kind, language, wants_stubs, wants_smart))
     if not options.smart:
         out = out.when(kind == D.TEXT, formats.text_dedup(text))
         for own in ("html", "css", "sql", "rust", "swift"):
@@ -66,19 +74,36 @@ def rewrite(text: Column, kind: Column, language: Column, options: Options = Opt
     return out
 
 
-def condense(docs: DataFrame, options: Options = Options(), text: str = "text", path: str | None = None, forced: str | None = None, count: Counter = approximate, kind: Column | None = None) -> DataFrame:
+def _apart(text: Column) -> Column:
+    """The same, computed in a projection of its own: the optimizer leaves what isn't deterministic where it is.
+
+    A Python UDF whose argument holds lambda functions isn't planned right; its argument must be a column.
+    """
+    return F.when(F.rand(0) < F.rand(1) + 1, text)
+
+
+def condense(docs: DataFrame, options: Options = Options(), text: str = "text", path: str | None = None, forced: str | None = None, count: Counter = approximate, kind: Column | None = None,
+             stubbed: Column | None = None, smart: Column | None = None, budget: Column | None = None) -> DataFrame:
     """docs with content_type, language, condensed, tokens_before, tokens_after and error.
 
     ``kind`` is a STRUCT<content_type, language> that decides the type where it isn't null.
+    ``stubbed``, ``smart`` and ``budget`` are a row's own options; a null budget is the run's.
+    The budget is kept in the tokens of ``count``.
     """
     found = D.resolve(F.col(text), F.col(path) if path else None, forced)
     out = docs.withColumn("__kind", found if kind is None else F.when(kind.isNotNull(), kind).otherwise(found))
     out = out.withColumns({"content_type": F.when(F.col(text).isNotNull(), F.col("__kind.content_type")), "language": F.when(F.col(text).isNotNull(), F.col("__kind.language"))}).drop("__kind")
-    out = out.withColumn("__new", rewrite(F.col(text), F.col("content_type"), F.col("language"), options))
+    out = out.withColumn("__new", rewrite(F.col(text), F.col("content_type"), F.col("language"), options, stubbed, smart))
     if options.patterns:
         out = out.withColumn("__new", formats.strip_patterns(F.col("__new"), list(options.patterns)))
-    if options.budget is not None:
-        out = out.withColumn("__new", formats.within_budget(F.col("__new"), options.budget))
+    if count is not approximate:
+        out = out.withColumn("__new", _apart(F.col("__new")))
+    if options.budget is not None or budget is not None:
+        most = F.lit(options.budget).cast("int") if budget is None else F.coalesce(budget, F.lit(options.budget)).cast("int")
+        within = getattr(count, "within", formats.within_budget)
+        out = out.withColumn("__new", F.when(most.isNull(), F.col("__new")).otherwise(within(F.col("__new"), most)))
+        if count is not approximate:
+            out = out.withColumn("__new", _apart(F.col("__new")))
     return out.withColumns(
         {
             "condensed": F.col("__new"),

@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 from ..functions import detect as D
 from ..functions import formats, lexers, neardup, stubs
 from ..functions import lines as L
-from ..functions.tokens import approximate, saved_pct
+from ..functions.tokens import approximate, bpe_counter, saved_pct
 from ..operators import bundle, similar
+from ..operators.cache import ResultCache
 from ..operators.condense import condense
-from ..sources import payloads
-from . import reports
+from ..sources import payloads, scan
+from ..sources.scratch import scratch
+from . import ledger, reports, samples
 from .options import Options
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -355,12 +357,108 @@ _code("stub_go", "Go bodies", "package p\n\nfunc (t *T) F{key}(a int) (int, erro
 # ---------------------------------------------------------------- the whole path
 
 
-@query()
+_WHOLE_BUDGET = 4 * 2000
+
+
+@query(f"""WITH {_DEDUP}, ex2 AS ({_exploded("doc_id", "facts", "condensed")}),
+s2 AS (SELECT *, trim(regexp_replace(line, '[0-9]{{12,}}', '', 'g'), {_WS}) AS x FROM ex2),
+j2 AS (SELECT doc_id, rtrim(string_agg(line[:length(line) - length(ltrim(line, {_WS}))] || x, chr(10) ORDER BY pos), {_WS}) AS t FROM s2 WHERE x <> '' GROUP BY doc_id),
+f2 AS (SELECT d.doc_id, d.text, coalesce(t, '') AS t FROM documents d LEFT JOIN j2 USING (doc_id)),
+ex3 AS ({_exploded("doc_id", "(SELECT * FROM f2 WHERE length(t) > " + str(_WHOLE_BUDGET) + ")", "t")}),
+r3 AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY pos) AS used FROM ex3),
+k3 AS (SELECT doc_id, string_agg(line || chr(10), '' ORDER BY pos) FILTER (WHERE used <= {_WHOLE_BUDGET}) AS head FROM r3 GROUP BY doc_id),
+c3 AS (SELECT f2.doc_id, text, CASE WHEN length(t) <= {_WHOLE_BUDGET} THEN t ELSE coalesce(head, '') || {_sql_notice(2000)} END AS condensed FROM f2 LEFT JOIN k3 USING (doc_id))
+SELECT doc_id, 'text' AS content_type, CAST(NULL AS VARCHAR) AS language, condensed, {_tokens("text")} AS tokens_before, {_tokens("condensed")} AS tokens_after, CAST(NULL AS VARCHAR) AS error FROM c3""")
 def condense_documents(spark, sf_dir):
+    """Everything at once; the documents are text without blank lines, so each is one block."""
     done = condense(_table(spark, sf_dir, "documents"), Options(smart=True, patterns=("[0-9]{12,}",), budget=2000))
     return done.select("doc_id", "content_type", "language", "condensed", "tokens_before", "tokens_after", "error")
 
 
+EXACT = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+@query()
+def condense_exact_budget(spark, sf_dir):
+    """Exact tokens of a public vocabulary, and a budget in them."""
+    done = condense(_table(spark, sf_dir, "documents"), Options(patterns=("[0-9]{12,}",), budget=300), count=bpe_counter(EXACT))
+    return done.select("doc_id", "condensed", "tokens_before", "tokens_after")
+
+
+_EXT = ", ".join(f"('{e}', '{k}', {'NULL' if x is None else repr(x)})" for e, (k, x) in D.EXTENSIONS.items())
+
+
+@query(f"""WITH x(ext, content_type, language) AS (VALUES {_EXT}), n AS (SELECT *, row_number() OVER (ORDER BY ext) - 1 AS i, count(*) OVER () AS many FROM x)
+SELECT doc_id, content_type, CAST(language AS VARCHAR) AS language, CASE WHEN content_type = 'code' THEN 'code(' || language || ')' ELSE content_type END AS shown, coalesce(language, content_type) AS label
+FROM documents JOIN n ON doc_id % many = i""")
+def resolve_paths(spark, sf_dir):
+    """Types by extension, which come before the content's, and their labels."""
+    ext = F.get(F.array(*map(F.lit, sorted(D.EXTENSIONS))), (F.col("doc_id") % len(D.EXTENSIONS)).cast("int"))
+    found = _table(spark, sf_dir, "documents").select("doc_id", D.resolve(F.col("text"), F.concat(F.lit("a.b/c."), ext)).alias("k")).select("doc_id", "k.*")
+    return found.withColumns({"shown": D.display(F.col("content_type"), F.col("language")), "label": D.label(F.col("content_type"), F.col("language"))})
+
+
+@query("""SELECT n_nationkey, '{"n_name":"' || n_name || '"}' || chr(10) AS text FROM nation WHERE n_regionkey <> 1""")
+def folder_scan(spark, sf_dir):
+    """A tree of files written from nation, read back without a folder that a pattern excludes."""
+    root = scratch(spark, "tree")
+    _table(spark, sf_dir, "nation").select("n_name", "n_nationkey", "n_regionkey").repartition("n_nationkey").write.partitionBy("n_regionkey", "n_nationkey").json(root)
+    files = scan.scan_folder(spark, root, ["n_regionkey=1"])
+    return files.select(F.regexp_extract("path", "n_nationkey=([0-9]+)/", 1).cast("int").alias("n_nationkey"), "text")
+
+
+@query(f"WITH {_DEDUP} SELECT 'text' AS language, 0 AS is_total, {_SUMS}, CAST(greatest(sum(tokens_before) - sum(tokens_after), 0) AS BIGINT) AS saved FROM facts UNION ALL SELECT NULL, 1, {_SUMS}, CAST(greatest(sum(tokens_before) - sum(tokens_after), 0) AS BIGINT) FROM facts")
+def ledger_totals(spark, sf_dir):
+    """Two runs written to a ledger, one of them again, and its totals."""
+    book = ledger.Ledger(spark, scratch(spark, "ledger"))
+    done = condense(_table(spark, sf_dir, "documents"))
+    book.record(done.where("doc_id % 2 = 0"), "even")
+    for _ in range(2):
+        book.record(done.where("doc_id % 2 <> 0"), "odd")
+    return reports.by_label(book.rows()).drop("saved_pct")
+
+
+@query(f"WITH {_DEDUP} SELECT doc_id, condensed, 'text' AS content_type, tokens_before, tokens_after FROM facts")
+def cached_results(spark, sf_dir):
+    """The results of a second run, in which all are looked up."""
+    kept = ResultCache(spark, scratch(spark, "cache"))
+    docs = _table(spark, sf_dir, "documents")
+    kept.through(docs)
+    return kept.through(docs).select("doc_id", "condensed", "content_type", "tokens_before", "tokens_after")
+
+
+@query(f"""WITH {_DEDUP}, s AS (SELECT source, {_SUMS} FROM facts GROUP BY source)
+SELECT source, format('{{:,}}', tokens_before) || ' → ' || format('{{:,}}', tokens_after) || ' tokens (' || CAST(CAST(round(CASE WHEN tokens_before <= 0 THEN 0 ELSE greatest(tokens_before - tokens_after, 0) / tokens_before * 100 END) AS INTEGER) AS VARCHAR) || '% saved)' AS line FROM s""")
+def summary_lines(spark, sf_dir):
+    sums = _facts(spark, sf_dir).groupBy("source").agg(F.sum("tokens_before").alias("b"), F.sum("tokens_after").alias("a"))
+    return sums.select("source", reports.summary_line(F.col("b"), F.col("a")).alias("line"))
+
+
+@query()
+def sample_report(spark, sf_dir):
+    return samples.report(spark)
+
+
+_ASKS = "conv_id, turn, CASE turn % 3 WHEN 0 THEN 40 WHEN 1 THEN 1000000 END AS budget"
+
+
+@query(f"""WITH q AS (SELECT {_ASKS}, text FROM conversations), d AS (SELECT *, conv_id || ':' || turn AS id, coalesce(budget, 1000000) * 4 AS room FROM q),
+ex AS ({_exploded("id, room, text", "d", "text")}),
+mk AS (SELECT *, lower(trim(line, {_WS})) AS k, row_number() OVER (PARTITION BY id, lower(trim(line, {_WS})) ORDER BY pos) AS nth, lag(lower(trim(line, {_WS}))) OVER (PARTITION BY id ORDER BY pos) AS before FROM ex),
+kept AS (SELECT id, any_value(room) AS room, string_agg(CASE WHEN k = '' THEN '' ELSE line END, chr(10) ORDER BY pos) AS t FROM mk WHERE (k <> '' AND nth = 1) OR (k = '' AND (before IS NULL OR before <> '')) GROUP BY id),
+ex2 AS ({_exploded("id, room, t", "kept", "t")}),
+r AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY id ORDER BY pos) AS used FROM ex2),
+h AS (SELECT id, string_agg(line || chr(10), '' ORDER BY pos) FILTER (WHERE used <= room) AS head FROM r GROUP BY id)
+SELECT id, CASE WHEN length(t) <= room THEN t ELSE coalesce(head, '') || {_sql_notice(40)} END AS condensed FROM kept JOIN h USING (id)""")
+def request_answers(spark, sf_dir):
+    """Requests with budgets of their own, as lines, and the texts of the answers."""
+    budget = F.when(F.col("turn") % 3 == 0, 40).when(F.col("turn") % 3 == 1, 1_000_000)
+    args = F.struct("text", F.lit("text").alias("content_type"), budget.alias("budget"))
+    line = F.to_json(F.struct(F.lit("2.0").alias("jsonrpc"), F.concat_ws(":", "conv_id", "turn").alias("id"), F.lit("tools/call").alias("method"), F.struct(F.lit("compress").alias("name"), args.alias("arguments")).alias("params")))
+    done = payloads.answers(payloads.requests(_table(spark, sf_dir, "conversations").select(line.alias("value"))))
+    return done.select("id", F.get_json_object("response", "$.result.content[0].text").alias("condensed"))
+
+
 @query()
 def payload_responses(spark, sf_dir):
     c = _table(spark, sf_dir, "conversations")

@@ -16,8 +16,10 @@ from ..plans import reports
 from ..plans.options import Options
 
 _BLOCKS = "array<struct<type:string,text:string>>"
-REQUEST = "id string, method string, params struct<name:string,arguments:struct<text:string,content_type:string,model:string>>"
+REQUEST = "id string, method string, params struct<name:string,arguments:struct<text:string,content_type:string,model:string,ast:boolean,smart:boolean,budget:long>>"
 UNKNOWN_METHOD, BAD_PARAMS, INTERNAL = -32601, -32602, -32603
+#: Tokens beyond which a budget is none.
+MOST = 1 << 28
 TOOLS = ("compress", "count_tokens", "estimate_cost")
 
 
@@ -38,26 +40,44 @@ def payload_documents(messages: DataFrame, payload: str = "payload") -> DataFram
     return usable(got)
 
 
-def payload_answers(documents: DataFrame, suppress: bool = False, count: Counter = approximate) -> DataFrame:
-    """(path, response): JSON for the documents that became shorter; no row for the others."""
+def edited_documents(messages: DataFrame, files: DataFrame, payload: str = "payload") -> DataFrame:
+    """(event, tool, path, text): for each message before a file is written or edited, what the file (path, text) holds now.
+
+    Messages about files that aren't there, or are blank, have no row.
+    """
+    p = F.col(payload)
+    asked = messages.select(F.get_json_object(p, "$.hookEventName").alias("event"), F.get_json_object(p, "$.tool_name").alias("tool"), F.get_json_object(p, "$.tool_input.file_path").alias("path"))
+    asked = asked.where((F.col("event") == "PreToolUse") & F.col("tool").isin("Write", "Edit"))
+    return usable(asked.join(files.select("path", "text"), "path").select("event", "tool", "path", "text"))
+
+
+def payload_answers(documents: DataFrame, suppress: bool | None = False, count: Counter = approximate) -> DataFrame:
+    """(path, response): JSON for the documents that became shorter; no row for the others.  ``suppress`` None leaves that key out."""
     done = condense(documents, Options(), path="path", count=count).where("error is null and tokens_after < tokens_before")
     head = F.format_string("[%d → %d tokens, %.0f%% saved]\n\n", "tokens_before", "tokens_after", saved_pct(F.col("tokens_before"), F.col("tokens_after")))
-    body = F.struct(F.struct(F.col("event").alias("hookEventName"), F.lit(suppress).alias("suppressOutput"), F.concat(head, "condensed").alias("additionalContext")).alias("hookSpecificOutput"))
+    quiet = [] if suppress is None else [F.lit(suppress).alias("suppressOutput")]
+    body = F.struct(F.struct(F.col("event").alias("hookEventName"), *quiet, F.concat(head, "condensed").alias("additionalContext")).alias("hookSpecificOutput"))
     return done.select("path", F.to_json(body).alias("response"))
 
 
 def requests(messages: DataFrame, value: str = "value") -> DataFrame:
-    """(id, method, tool, text, content_type, model) of each request line."""
+    """(id, method, tool, text, content_type, model, ast, smart, budget) of each request line; an option of another type is null."""
     parsed = messages.where(D.left(F.col(value)) != "").select(F.from_json(value, REQUEST, {"mode": "PERMISSIVE"}).alias("r")).where("r.id is not null")
     a = "r.params.arguments"
-    return parsed.select("r.id", "r.method", F.col("r.params.name").alias("tool"), F.col(f"{a}.text").alias("text"), F.col(f"{a}.content_type").alias("content_type"), F.col(f"{a}.model").alias("model"))
+    return parsed.select("r.id", "r.method", F.col("r.params.name").alias("tool"), F.col(f"{a}.text").alias("text"), F.col(f"{a}.content_type").alias("content_type"), *[F.col(f"{a}.{c}").alias(c) for c in ("model", "ast", "smart", "budget")])
 
 
 def answers(reqs: DataFrame, options: Options = Options(), count: Counter = approximate) -> DataFrame:
-    """(id, response) for each request: the condensed text, the count or the cost table, and meta with the numbers; or an error."""
+    """(id, response) for each request: the condensed text, the count or the cost table, and meta with the numbers; or an error.
+
+    A request to condense may have ``ast`` (bodies are stubbed), ``smart`` and ``budget`` of its own.
+    """
     known = F.create_map(*[x for name, (kind, lang) in D.ALIASES.items() for x in (F.lit(name), F.struct(F.lit(kind).alias("content_type"), F.lit(lang).cast("string").alias("language")))])
     asked = reqs.withColumnRenamed("content_type", "__asked").withColumn("__forced", F.try_element_at(known, F.col("__asked")))
-    done = condense(asked, options, count=count, kind=F.col("__forced"))
+    own = lambda c: F.when(F.col("tool") == "compress", F.col(c)) if c in reqs.columns else None
+    limit = own("budget")
+    limit = limit if limit is None else F.when(limit >= 0, F.least(limit, F.lit(MOST)))
+    done = condense(asked, options, count=count, kind=F.col("__forced"), stubbed=own("ast"), smart=own("smart"), budget=limit)
     pct = F.round(saved_pct(F.col("tokens_before"), F.col("tokens_after")), 1).alias("saved_pct")
     meta = F.struct("tokens_before", "tokens_after", pct, D.display(F.col("content_type"), F.col("language")).alias("content_type"))
     chosen = F.filter(F.array(*[F.struct(F.lit(m).alias("model"), F.lit(p).alias("provider"), F.lit(v).alias("usd_per_mtok")) for _, m, p, v in reports.price_rows()]), lambda x: F.contains(x["model"], F.lower(F.coalesce("model", F.lit("")))))

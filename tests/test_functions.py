@@ -107,7 +107,7 @@ def test_html_css_sql(spark):
 
 def test_python_ruby_shell_yaml():
     assert lexers.strip_python('"""doc\nmore"""\nx = """kept # yes"""  # no\ny = "#"\n\n\n\nz = 1 # q') == 'x = """kept # yes"""  \ny = "#"\n\nz = 1 '
-    assert lexers.strip_ruby("#!/usr/bin/ruby\n# x\n=begin\nno\n=end\nputs 'a#b' # c\n") == "puts 'a#b'"
+    assert lexers.strip_ruby("#!/usr/bin/ruby\n# x\n=begin\nno\n=end\nputs 'a#b' # c\n") == "#!/usr/bin/ruby\n\nputs 'a#b'"
     assert lexers.strip_shell("\n#!/bin/sh\n# c\necho \"a # b\" # c\necho $# x") == "#!/bin/sh\n\necho \"a # b\"\necho $"
     assert lexers.strip_yaml("a: 'it''s # x' # y\nb#c: 1\n# z") == "a: 'it''s # x'\nb#c: 1"
     for fn in (lexers.strip_python, lexers.strip_ruby, lexers.strip_shell, lexers.strip_yaml):
@@ -335,3 +335,62 @@ def test_reports(spark):
     ).first()
     assert tuple(row) == ("1,234,567", "1.2M", "12 345", "$0.5000", "$2.00", "$0.001000")
     assert len(json.loads(reports.estimate(facts, reports.prices(spark)).first().meta)) == 10
+
+
+EXACT = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+def test_condense_with_exact_counts_and_budget(spark):
+    count = tokens.bpe_counter(EXACT)
+    exact = lambda t: len(tokens._encoding(EXACT).encode_ordinary(t))
+    texts = ["日本語の文章です\nもう一行\n" * 40, "plain words here\n" * 100, "short", "", None, '{"a": 1, "b": null}', "éàü ñ\n\n\nx 12345\n" * 30]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for options in (O.Options(), O.Options(budget=60), O.Options(budget=60, smart=True, patterns=("[0-9]{3,}",)), O.Options(stubs=True, budget=0)):
+        rough = {r.doc_id: r.condensed for r in condense(df, O.Options(stubs=options.stubs, smart=options.smart, patterns=options.patterns)).collect()}
+        for r in condense(df, options, count=count).collect():
+            if r.text is None:
+                assert r.tokens_before is r.tokens_after is r.condensed is None
+                continue
+            assert r.tokens_before == exact(r.text) and r.tokens_after == exact(r.condensed)
+            whole = rough[r.doc_id]
+            if options.budget is None or exact(whole) <= options.budget:
+                assert r.condensed == whole
+                continue
+            assert r.condensed.endswith(formats.notice(options.budget))
+            kept = r.condensed.removesuffix(formats.notice(options.budget))
+            n = kept.count("\n")
+            all_lines = lexers.split_lines(whole)
+            assert kept == "".join(x + "\n" for x in all_lines[:n]) and exact(kept) <= options.budget < exact(kept + all_lines[n] + "\n")
+
+
+def test_own_options_of_rows(spark):
+    code = "fn f() -> u8 {\n    1\n}\nuse x;\nfn g() {}\nlet a;\n"
+    block = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(1, code, True, None, None), (2, code, False, None, None), (3, f"{block}\n\nOther words stand here\n\n{block}.", None, True, None), (4, f"{block}\n\nOther words stand here\n\n{block}.", None, None, None), (5, "a b c d\n" * 9 + "e\n" * 3 + "f", None, None, 1), (6, "a\nb", None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, ast boolean, near boolean, most long")
+    got = {r.doc_id: r.condensed for r in condense(df, stubbed=F.col("ast"), smart=F.col("near"), budget=F.col("most")).collect()}
+    alone = lambda i, o: condense(df.where(f"doc_id = {i}"), o).first().condensed
+    assert got == {1: alone(1, O.Options(stubs=True)), 2: alone(2, O.Options()), 3: alone(3, O.Options(smart=True)), 4: alone(4, O.Options()), 5: alone(5, O.Options(budget=1)), 6: alone(6, O.Options())}
+    assert got[1] != got[2] and got[3] != got[4]
+
+
+def test_ruby_keeps_the_first_line():
+    assert lexers.strip_ruby("#!/usr/bin/env ruby\n# note\nputs 1 # why\n") == "#!/usr/bin/env ruby\n\nputs 1"
+
+
+def test_dedup_in_python_and_on_the_jvm(spark):
+    texts = [t for t in [*EDGE, *noise(5, "ab A\n\t", 200, 60)]]
+    assert apply(spark, formats.text_dedup, texts) == [None if t is None else formats.dedup_lines(t) for t in texts]
+
+
+def test_sample_report(spark):
+    from scriven.plans import samples
+
+    rows = samples.report(spark).collect()
+    for mode in ("standard", "stubbed"):
+        each = [r for r in rows if r["mode"] == mode and not r.is_total]
+        total = next(r for r in rows if r["mode"] == mode and r.is_total)
+        assert len(each) == {"standard": 12, "stubbed": 6}[mode]
+        assert total.tokens_before == sum(r.tokens_before for r in each) and total.tokens_after == sum(r.tokens_after for r in each)
+        assert abs(total.saved_pct - 100 * (total.tokens_before - total.tokens_after) / total.tokens_before) < 1e-9
+        assert all(r.tokens_after < r.tokens_before for r in each)

@@ -94,3 +94,24 @@ def test_stream_windows(spark, tmp_path):
     fresh = flows.new_templates(spark.readStream.schema(logs.schema).parquet(str(tmp_path / "logs")))
     fresh.writeStream.format("memory").queryName("t").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     assert spark.table("t").count() == 1
+
+
+def test_requests_with_options_of_their_own(spark):
+    code = "fn f() -> u8 {\n    1\n}\nuse x;\n"
+    asks = [{"text": code, "content_type": "rust", "ast": True}, {"text": code, "content_type": "rust"}, {"text": "a b c d\n" * 9 + "e", "budget": 2}, {"text": "x", "budget": -1}, {"text": "x", "budget": "many", "ast": 1}]
+    lines = [(json.dumps({"jsonrpc": "2.0", "id": str(i), "method": "tools/call", "params": {"name": "compress", "arguments": a}}),) for i, a in enumerate(asks)]
+    got = {r.id: json.loads(r.response) for r in payloads.answers(payloads.requests(spark.createDataFrame(lines, "value string"))).collect()}
+    text = lambda i: got[str(i)]["result"]["content"][0]["text"]
+    assert "/* ... */" in text(0) and "/* ... */" not in text(1)
+    assert text(2) == "a b c d\n// cut to fit a budget of 2 tokens\n" and text(3) == "x"
+    assert "4" not in got or text(4) == "x"
+
+
+def test_what_a_file_holds_before_an_edit(spark):
+    message = lambda event, tool, path: (json.dumps({"hookEventName": event, "tool_name": tool, "tool_input": {"file_path": path}}),)
+    asks = [message("PreToolUse", "Edit", "a.txt"), message("PreToolUse", "Write", "gone.txt"), message("PreToolUse", "Read", "a.txt"), message("PostToolUse", "Edit", "a.txt"), message("PreToolUse", "Write", "b.txt")]
+    files = spark.createDataFrame([("a.txt", "same line of words\n" * 5), ("b.txt", " ")], "path string, text string")
+    docs = payloads.edited_documents(spark.createDataFrame(asks, "payload string"), files)
+    got = payloads.payload_answers(docs, suppress=None).collect()
+    out = json.loads(got[0].response)["hookSpecificOutput"]
+    assert len(got) == 1 and got[0].path == "a.txt" and out["hookEventName"] == "PreToolUse" and "suppressOutput" not in out and out["additionalContext"].endswith("same line of words")
