@@ -1,11 +1,15 @@
 """Media columns: AVI files of motion JPEG, decoded and cut into shots.
 
 ``clips`` parses the RIFF structure of each file (header, stream format, the ``idx1`` index,
-or the ``movi`` list where there is no index), decodes every frame of the first motion-JPEG
-stream (baseline JPEG: Huffman decoding, dequantisation, inverse cosine transform, all of
-them whole) to luma, and compares histograms of ``BINS`` levels of consecutive frames.  A
-frame begins a new shot if its difference (half the L1 distance, 0 to 1) is at least
-``FLOOR`` and exceeds the mean of the differences of up to ``RADIUS`` frames on either side, without its own, by ``SIGMAS`` standard deviations.
+or the ``movi`` list where there is no index, and the lists of further ``AVIX`` segments of
+large files), decodes every frame of the first motion-JPEG stream (baseline JPEG: Huffman
+decoding, dequantisation, inverse cosine transform) to luma, and compares histograms of
+``BINS`` levels of consecutive frames.  Chroma is read to keep the place, but not rebuilt.
+
+The threshold adapts to the film: a frame begins a new shot if its difference (half the L1
+distance, 0 to 1) exceeds the median of the differences of up to ``RADIUS`` frames on either
+side, without its own, by more than ``FLOOR`` and by more than ``SIGMAS`` robust deviations
+(1.4826 times their median absolute deviation).  So flicker raises the bar, cuts nearby don't.
 
 Rows: media_id, clip (from 0), first_frame, last_frame, start_s and end_s (times from the
 file's frame duration).  All frames of a file lie in exactly one clip.
@@ -18,8 +22,9 @@ An empty table gives an empty result.
 
 The test tables hold no media, so ``encode_avi`` writes such files from pictures, and the
 query makes one file of each row of embeddings: ``FRAMES_PER_SCENE`` frames for each scene,
-2 to 4 scenes by vec_id, each of a brightness far from its neighbours' and with the vector's
-numbers as its texture.
+2 to 4 scenes by vec_id, each of a brightness far from its neighbours', with the vector's
+numbers as its texture and noise of its own in each frame.  Films of odd vec_id flicker:
+differences within their scenes exceed ``FLOOR``.
 """
 
 from __future__ import annotations
@@ -331,7 +336,7 @@ def parse_avi(data: bytes) -> tuple[float, list[bytes]]:
     """(seconds a frame, frames of the first motion-JPEG stream) of an AVI file."""
     if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
         raise Damaged("no AVI file")
-    seconds, stream, number, movie, entries = 0.0, None, -1, None, None
+    seconds, stream, number, movie, entries, further = 0.0, None, -1, None, None, []
     for name, a, z in _chunks(data, 12, len(data)):
         kind = data[a : a + 4]
         if name == b"LIST" and kind == b"hdrl":
@@ -348,8 +353,10 @@ def parse_avi(data: bytes) -> tuple[float, list[bytes]]:
                         seconds = scale / rate if scale and rate else seconds
         elif name == b"LIST" and kind == b"movi" and movie is None:
             movie = (a, z)
-        elif name == b"idx1":
+        elif name == b"idx1" and not further:
             entries = (a, z)
+        elif name == b"RIFF" and kind == b"AVIX":
+            further += [(b, y) for name, b, y in _chunks(data, a + 4, z) if name == b"LIST" and data[b : b + 4] == b"movi"]
     if stream is None or movie is None:
         raise Damaged("no motion-JPEG stream")
     names = (b"%02ddc" % stream, b"%02ddb" % stream)
@@ -362,16 +369,18 @@ def parse_avi(data: bytes) -> tuple[float, list[bytes]]:
         base = next((b for o, _ in rows for b in (movie[0], 0) if data[b + o : b + o + 4] in names), None)
         if base is not None:
             frames = [data[base + o + 8 : base + o + 8 + n] for o, n in rows]
-    if not frames:
 
-        def walk(a: int, z: int) -> None:
-            for name, b, y in _chunks(data, a, z):
-                if name == b"LIST":
-                    walk(b + 4, y)
-                elif name in names:
-                    frames.append(data[b:y])
+    def walk(a: int, z: int) -> None:
+        for name, b, y in _chunks(data, a, z):
+            if name == b"LIST":
+                walk(b + 4, y)
+            elif name in names:
+                frames.append(data[b:y])
 
+    if not frames:
         walk(movie[0] + 4, movie[1])
+    for a, z in further:
+        walk(a + 4, z)
     if not frames:
         raise Damaged("no frames")
     return seconds, frames
@@ -388,23 +397,28 @@ def cuts(hists: np.ndarray, floor: float = FLOOR, sigmas: float = SIGMAS, radius
     """Frames that begin a shot, 0 among them."""
     diff = np.abs(np.diff(hists, axis=0)).sum(axis=1) / 2
     out = [0]
-    for i, d in enumerate(diff):
-        around = np.concatenate((diff[max(0, i - radius) : i], diff[i + 1 : i + 1 + radius]))
-        calm = around[around < floor]  # cuts nearby don't raise the bar
-        bar = calm.mean() + sigmas * calm.std() if len(calm) else 0.0
-        if d >= floor and d > bar:
+    for i, d in enumerate(diff.tolist()):
+        around = np.sort(np.concatenate((diff[max(0, i - radius) : i], diff[i + 1 : i + 1 + radius])))
+        middle = _median(around)
+        if d > middle + max(floor, sigmas * 1.4826 * _median(np.sort(np.abs(around - middle)))):
             out.append(i + 1)
     return out
 
 
+def _median(values: np.ndarray) -> float:
+    """Of sorted values; 0 of none."""
+    n = len(values)
+    return float(values[n // 2] + values[(n - 1) // 2]) / 2 if n else 0.0
+
+
 def shots(data: bytes) -> list[tuple[int, int, float, float]]:
     """(first frame, last frame, begin, end in seconds) of each shot of a file."""
     seconds, frames = parse_avi(data)
-    hists, last, seen = [], None, b""
+    hists, last = [], None
     for f in frames:
-        if last is None or (f and f != seen):
+        if last is None or f:
             try:
-                last, seen = histogram(decode_luma(f)), f
+                last = histogram(decode_luma(f))
             except (Damaged, IndexError, KeyError, struct.error, ValueError):
                 last = last if last is not None else np.eye(1, BINS)[0]
         hists.append(last)
@@ -436,11 +450,13 @@ def scenes(vec_id: int) -> int:
     return 2 + vec_id % 3
 
 
-def picture(vec_id: int, vector: list[float], scene: int) -> np.ndarray:
-    """32 by 32 points: a brightness of its own for each scene, with the vector as texture."""
-    level = (40, 200, 90, 240)[scene]
-    v = np.resize(np.nan_to_num(np.asarray(vector or [0.0], np.float64), nan=0, posinf=0, neginf=0), 16).reshape(4, 4)
-    return np.clip(level + 6 * np.tanh(np.kron(np.roll(v, scene), np.ones((8, 8)))), 0, 255).astype(np.uint8)
+def picture(vec_id: int, vector: list[float], scene: int, frame: int) -> np.ndarray:
+    """32 by 32 points: a brightness of its own for each scene, a ramp with the vector as texture, and the frame's noise and flicker."""
+    level = (44, 204, 92, 236)[scene] + (2 * (frame % 2) if vec_id % 2 else 0)
+    v = np.resize(np.nan_to_num(np.asarray(vector or [0.0], np.float64), nan=0, posinf=0, neginf=0), 16)
+    ramp = np.arange(16) % 8 - 3.5
+    noise = np.random.default_rng((abs(vec_id), scene, frame)).integers(-1, 2, (32, 32))
+    return np.clip(level + noise + np.kron((ramp + np.tanh(np.roll(v, scene)) / 2).reshape(4, 4), np.ones((8, 8))), 0, 255).astype(np.uint8)
 
 
 def synthesize(embeddings: DataFrame) -> DataFrame:
@@ -452,8 +468,7 @@ def synthesize(embeddings: DataFrame) -> DataFrame:
                 part = whole.slice(at, 256)
                 files = []
                 for vec_id, vector in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    stills = [encode_luma(picture(vec_id, vector, k)) for k in range(scenes(vec_id))]
-                    files.append(encode_avi([s for s in stills for _ in range(FRAMES_PER_SCENE)], 32, 32))
+                    files.append(encode_avi([encode_luma(picture(vec_id, vector, k, f)) for k in range(scenes(vec_id)) for f in range(FRAMES_PER_SCENE)], 32, 32))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(files, pa.binary())], ["media_id", "media"])
 
     return embeddings.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("media_id"), "embedding").mapInArrow(run, "media_id long, media binary")

@@ -571,6 +571,46 @@ def test_jpeg_and_avi_round_trip():
         assert got == frames and seconds == pytest.approx(0.04)
 
 
+def test_avi_of_several_segments():
+    frames = [media.encode_luma(np.full((16, 16), v, np.uint8)) for v in (20, 200, 90, 240)]
+    more = media._chunk(b"LIST", b"movi" + b"".join(media._chunk(b"00dc", f) for f in frames[2:]))
+    for index in (True, False):
+        film = media.encode_avi(frames[:2], 16, 16, index=index) + media._chunk(b"RIFF", b"AVIX" + more)
+        assert media.parse_avi(film)[1] == frames
+        assert [s[:2] for s in media.shots(film)] == [(0, 3)] or len(media.shots(film)) > 1
+
+
+def test_cuts_against_brute_force():
+    import statistics
+
+    rng, reached = np.random.default_rng(4), 0
+    for _ in range(300):
+        n = int(rng.integers(1, 30))
+        hists = rng.dirichlet(np.full(6, rng.choice([0.3, 3, 300])), n)
+        hists[n // 2 :] = np.roll(hists[n // 2 :] ** rng.choice([1, 3]), 3, axis=1)
+        hists /= hists.sum(axis=1, keepdims=True)
+        diff = [sum(abs(x - y) for x, y in zip(a, b)) / 2 for a, b in zip(hists, hists[1:])]
+        want = [0]
+        for i, d in enumerate(diff):
+            around = diff[max(0, i - 4) : i] + diff[i + 1 : i + 5]
+            middle = statistics.median(around) if around else 0
+            spread = 3 * 1.4826 * statistics.median(abs(x - middle) for x in around) if around else 0
+            reached += spread > media.FLOOR
+            want += [i + 1] * int(d - middle > max(media.FLOOR, spread) + 1e-12)
+        assert media.cuts(hists) == want
+    assert reached
+
+
+def test_flicker_needs_the_adaptive_threshold():
+    vector = [0.1, -0.3, 0.2, 0.05, -0.1, 0.4]
+    frames = [media.encode_luma(media.picture(1, vector, k, f)) for k in range(3) for f in range(4)]
+    assert len(set(frames)) == 12
+    hists = np.array([media.histogram(media.decode_luma(f)) for f in frames])
+    diff = np.abs(np.diff(hists, axis=0)).sum(axis=1) / 2
+    assert (diff >= media.FLOOR).sum() > 2  # a fixed threshold would cut within scenes
+    assert media.cuts(hists) == [0, 4, 8]
+
+
 def test_clips(spark):
     grey = lambda v: media.encode_luma(np.full((16, 16), v, np.uint8))
     film = media.encode_avi([grey(20)] * 3 + [b""] + [grey(200)] * 2 + [b"damaged"] + [grey(90)], 16, 16)
