@@ -23,7 +23,7 @@ An empty table gives an empty result.
 The test tables hold no media, so ``encode_avi`` writes such files from pictures, and the
 query makes one file of each row of embeddings: ``FRAMES_PER_SCENE`` frames for each scene,
 2 to 4 scenes by vec_id, each of a brightness far from its neighbours', with the vector's
-numbers as its texture and noise of its own in each frame.  Films of odd vec_id flicker:
+numbers as its texture and, in each frame, noise of its own somewhere.  Films of odd vec_id flicker:
 differences within their scenes exceed ``FLOOR``.
 """
 
@@ -455,8 +455,11 @@ def picture(vec_id: int, vector: list[float], scene: int, frame: int) -> np.ndar
     level = (44, 204, 92, 236)[scene] + (2 * (frame % 2) if vec_id % 2 else 0)
     v = np.resize(np.nan_to_num(np.asarray(vector or [0.0], np.float64), nan=0, posinf=0, neginf=0), 16)
     ramp = np.arange(16) % 8 - 3.5
-    noise = np.random.default_rng((abs(vec_id), scene, frame)).integers(-1, 2, (32, 32))
-    return np.clip(level + noise + np.kron((ramp + np.tanh(np.roll(v, scene)) / 2).reshape(4, 4), np.ones((8, 8))), 0, 255).astype(np.uint8)
+    out = level + np.kron((ramp + np.tanh(np.roll(v, scene)) / 2).reshape(4, 4), np.ones((8, 8)))
+    g = np.random.default_rng((abs(vec_id), scene, frame))
+    y, x = 8 * g.integers(0, 4, 2)
+    out[y : y + 8, x : x + 8] += g.choice((-6, 6), (8, 8))  # noise that outlives quantisation
+    return np.clip(out, 0, 255).astype(np.uint8)
 
 
 def synthesize(embeddings: DataFrame) -> DataFrame:
