@@ -8,11 +8,12 @@ fill to the power of the probes, and the language with the most corrected hits w
 (ties: the first in alphabetical order).  A document is rejected ("und") if its best
 language has fewer corrected hits than ``MIN_COVERAGE`` of its n-grams.
 
-The filters are fitted on a bounded sample of labelled documents: at most ``FIT_DOCS`` in all
-and ``FIT_PER_LANGUAGE`` of each language, chosen by a hash of doc_id.  An n-gram enters the
+The filters are fitted on a bounded sample of labelled documents: about ``FIT_DOCS`` in all,
+at most ``FIT_PER_LANGUAGE`` and no fewer than some ``FIT_LEAST`` of each language that has so
+many, chosen by a hash of doc_id.  An n-gram enters the
 filter of a language if it makes up at least ``RATE`` of that language's n-grams and occurs
-twice; the rule is relative, so it doesn't depend on the sample's size.  At most 64 languages,
-the most frequent ones, are distinguished.
+twice; the rule is relative, so it doesn't depend on the sample's size.  All languages that are
+labelled are distinguished, 64 of them in each table of masks.
 
 Cases.  Null or empty texts, and texts without letters, have no n-grams and are rejected.
 Rows with a null doc_id or null lang are classified like others; rows without a lang don't
@@ -32,12 +33,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .common import table
+from .common import materialize, small, table
 
-#: N-grams of the first length that a text has are used; the next is for texts too short for it.
+#: Lengths of n-grams, all of which are used.
 SIZES = (4, 3)
 FIT_DOCS = 4000
 FIT_PER_LANGUAGE = 1000
+FIT_LEAST = 20
 RATE = 4e-6
 MIN_COVERAGE = 0.15
 PROBES = 4
@@ -49,16 +51,17 @@ U64 = np.uint64
 @dataclass
 class Filters:
     languages: list[str]
-    masks: np.ndarray
+    masks: list[np.ndarray]
     false_positive: np.ndarray
 
-    def lookup(self, h: np.ndarray) -> np.ndarray:
-        """Bit mask of the languages that contain each n-gram hash."""
-        size = U64(len(self.masks) - 1)
+    def lookup(self, h: np.ndarray, group: int = 0) -> np.ndarray:
+        """Bit mask of those of 64 languages that contain each n-gram hash."""
+        masks = self.masks[group]
+        size = U64(len(masks) - 1)
         step = (h >> U64(32)) | U64(1)
-        out = self.masks[h & size]
+        out = masks[h & size]
         for k in range(1, PROBES):
-            out &= self.masks[(h + U64(k) * step) & size]
+            out &= masks[(h + U64(k) * step) & size]
         return out
 
 
@@ -67,16 +70,19 @@ def build(grams: dict[str, np.ndarray]) -> Filters:
     names = sorted(grams)
     most = max((len(g) for g in grams.values()), default=1)
     size = 1 << max(10, int(most * SLOTS - 1).bit_length())
-    kind = next(t for t, b in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if len(names) <= b)
-    masks = np.zeros(size, kind)
-    fill = np.zeros(len(names))
-    for bit, name in enumerate(names):
-        h = grams[name]
-        step = (h >> U64(32)) | U64(1)
-        slots = np.concatenate([(h + U64(k) * step) & U64(size - 1) for k in range(PROBES)] + [np.zeros(0, U64)])
-        masks[np.unique(slots)] |= kind(1 << bit)
-        fill[bit] = len(np.unique(slots)) / size
-    return Filters(names, masks, fill**PROBES)
+    tables, fill = [], np.zeros(len(names))
+    for first in range(0, max(1, len(names)), 64):
+        group = names[first : first + 64]
+        kind = next(t for t, b in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if len(group) <= b)
+        masks = np.zeros(size, kind)
+        for bit, name in enumerate(group):
+            h = grams[name]
+            step = (h >> U64(32)) | U64(1)
+            slots = np.unique(np.concatenate([(h + U64(k) * step) & U64(size - 1) for k in range(PROBES)] + [np.zeros(0, U64)]))
+            masks[slots] |= kind(1 << bit)
+            fill[first + bit] = len(slots) / size
+        tables.append(masks)
+    return Filters(names, tables, fill**PROBES)
 
 
 def learn(texts: dict[str, list[str | None]], sizes: tuple[int, ...] = SIZES, rate: float = RATE) -> dict[str, np.ndarray]:
@@ -96,16 +102,15 @@ def learn(texts: dict[str, list[str | None]], sizes: tuple[int, ...] = SIZES, ra
     return out
 
 
-def sample(docs: DataFrame, label: str, total: int, each: int) -> DataFrame:
-    """Labelled documents for fitting: at most ``each`` of a label and ``total`` in all, by a hash of doc_id."""
+def sample(docs: DataFrame, label: str, total: int, each: int, least: int = FIT_LEAST) -> DataFrame:
+    """Labelled documents for fitting, by a hash of doc_id: of each label about total / labels, ``each`` at most and ``least`` at least."""
     known = docs.where(F.col(label).isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id"), F.col(label).cast("string").alias("label"), F.col("text").cast("string").alias("text"))
-    counts = {r[0]: r[1] for r in known.groupBy("label").count().orderBy(F.desc("count"), "label").limit(64).collect()}
-    quota = max(1, min(each, total // max(1, len(counts))))
+    counts = materialize(known.groupBy("label").agg(F.count("*").alias("n")), "labels")
+    labels = counts.count()
+    quota = max(least, min(each, total // max(1, labels)))
     u = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    chosen = F.lit(False)
-    for name, n in counts.items():
-        chosen = chosen | ((F.col("label") == name) & (u < F.lit(min(1.0, quota / n))))
-    return known.where(chosen).orderBy(u, "doc_id", "text").limit(total).drop("doc_id")
+    chosen = known.join(small(counts, labels), "label").where(u < F.lit(float(quota)) / F.col("n"))
+    return chosen.orderBy(u, "doc_id", "text").limit(max(total, 2 * least * labels)).drop("doc_id", "n")
 
 
 def fit(docs: DataFrame, total: int = FIT_DOCS, each: int = FIT_PER_LANGUAGE) -> Filters:
@@ -119,18 +124,16 @@ def score(filters: Filters, texts: list[str | None], sizes: tuple[int, ...] = SI
     """(n-grams of each text, corrected hits of each text and language)."""
     n = np.zeros(len(texts))
     hits = np.zeros((len(texts), len(filters.languages)))
+    seq = tc.Characters(texts, tc.letters(), True)
     for size in sizes:
-        left = np.flatnonzero(n == 0)
-        if not len(left):
-            break
-        seq = tc.Characters([texts[i] for i in left], tc.letters(), True)
         for at, h in seq.grams(size):
             cut = np.searchsorted(at, seq.first)
-            n[left] += np.diff(cut)
-            found = filters.lookup(h)
-            for bit in range(len(filters.languages)):
-                total = np.concatenate(([0], np.cumsum((found >> bit) & 1, dtype=np.int64)))
-                hits[left, bit] += np.diff(total[cut])
+            n += np.diff(cut)
+            for k in range(len(filters.languages)):
+                if k % 64 == 0:
+                    found = filters.lookup(h, k // 64)
+                total = np.concatenate(([0], np.cumsum((found >> (k % 64)) & 1, dtype=np.int64)))
+                hits[:, k] += np.diff(total[cut])
     f = filters.false_positive
     return n, (hits - n[:, None] * f) / (1 - f)
 

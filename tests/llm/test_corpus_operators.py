@@ -233,6 +233,35 @@ def test_filters_return_every_language_and_few_others():
     assert all(abs(((strange >> b) & 1).mean() - f.false_positive[b]) < 0.01 for b in range(3))
 
 
+def test_language_scores_against_brute_force():
+    """Corrected hits from sets of n-grams, of more than 64 languages: filters may only add false positives, which are corrected."""
+    rng = random.Random(12)
+    texts = {f"l{k:03d}": [" ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(60))] for k in range(70)}
+    f = language_id.build(language_id.learn(texts, rate=0))
+    assert len(f.languages) == 70 and len(f.masks) == 2
+    seen = {}
+    for name, (text,) in texts.items():
+        every = [g for n in (4, 3) for w in text.split() for p in [f" {w} "] for g in (p[i : i + n] for i in range(len(p) - n + 1))]
+        seen[name] = {g for g in every if every.count(g) >= 2}, every
+    held = [texts["l069"][0], texts["l003"][0] + " zzzz", "zz", None, "", texts["l069"][0]]
+    n, hits = language_id.score(f, held)
+    for i, t in enumerate(held):
+        every = [g for k in (4, 3) for w in (t or "").split() for p in [f" {w} "] for g in (p[j : j + k] for j in range(len(p) - k + 1))]
+        assert n[i] == len(every)
+        for b, name in enumerate(f.languages):
+            exact = sum(g in seen[name][0] for g in every)
+            fp = f.false_positive[b]
+            assert abs(hits[i, b] * (1 - fp) + n[i] * fp - exact) <= 2
+    assert (hits[0] == hits[5]).all()
+
+
+def test_language_cases(spark):
+    rng = random.Random(3)
+    train = spark.createDataFrame([(i, t, k) for i, (t, k) in enumerate(two_languages(40, rng))], "doc_id long, text string, lang string")
+    df = spark.createDataFrame([(None, " ".join(EN) * 3), (1, " ".join(FR) * 3), (1, " ".join(FR) * 3)], "doc_id long, text string")
+    assert sorted((str(r.doc_id), r.language) for r in language_id.identify(df, language_id.fit(train)).collect()) == [("1", "fr"), ("1", "fr"), ("None", "en")]
+
+
 def test_language_without_labels(spark):
     df = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
     f = language_id.fit(df)
