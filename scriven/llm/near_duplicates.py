@@ -133,15 +133,36 @@ def candidates(cls: DataFrame, block: int) -> DataFrame:
     return pairs.join(cls.select("key", "class_id"), "key")
 
 
+#: Of a class in a pair of blocks.
+_CAND = ("key", "class_id", "n_copies", "own", "lo", "hi")
+
+
+def _with_sets(group: pa.Table, n: int) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    """(rows with the n-gram set of their class, each once, the sets one after the other, sizes); other rows of a repeated doc_id go."""
+    texts, key = group["text"].to_pylist(), group["key"].to_numpy()
+    rows, sets, seen = [], [], set()
+    for a, z in tc.chunked(texts):
+        v, bound = tc.sorted_sets(*tc.doc_ngrams(tc.Words(texts[a:z]), n))
+        have = np.flatnonzero(np.diff(bound))
+        if not len(have):
+            continue
+        tight = np.concatenate((bound[:-1][have], bound[-1:]))
+        good = have[set_keys(v, tight).view(np.int64) == key[a:z][have]]
+        for i in good.tolist():
+            if key[a + i] not in seen:
+                seen.add(key[a + i])
+                rows.append(a + i)
+                sets.append(v[bound[i] : bound[i + 1]].copy())
+    return group.select(list(_CAND)).take(pa.array(rows, pa.int64())), np.concatenate([np.zeros(0, U64), *sets]), np.array([len(x) for x in sets], np.int64)
+
+
 def _verify(n: int, threshold: float, emit: str):
     """Compare the classes of each (lo, hi) exactly; emit pairs, what each class gains in links, or edges that span each group."""
 
-    def rows_of(group: pa.Table) -> Iterator[tuple[int, int, float]]:
-        """Pairs at or over the threshold: positions in the group, in columns sorted by key."""
+    def rows_of(group: pa.Table, v: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs at or over the threshold: positions in the group, and their similarity."""
         own = group["own"].to_numpy()
         lo, hi = group["lo"][0].as_py(), group["hi"][0].as_py()
-        values, bound = group["values"], group["size"].to_numpy()
-        v = np.concatenate([np.frombuffer(x.as_py(), U64) for x in values])
         owner = np.repeat(np.arange(len(bound)), bound)
         # only n-grams that two classes share count; columns of the incidence matrix
         order = np.argsort(v, kind="stable")
@@ -152,7 +173,7 @@ def _verify(n: int, threshold: float, emit: str):
         new = np.cumsum(shared) - 1
         keep = shared[col]
         so, col = so[keep], new[col[keep]]
-        g, width = len(bound), max(64, min(4096, (1 << 23) // max(1, len(bound))))
+        g, width = len(bound), max(64, min(4096, (1 << 22) // max(1, len(bound))))
         both = np.zeros((g, g), np.float32)
         cols = int(shared.sum())
         cut = np.searchsorted(col, np.arange(0, cols + width, width))
@@ -175,11 +196,11 @@ def _verify(n: int, threshold: float, emit: str):
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups(it, "lo", "hi"):
-            _, once = np.unique(group["key"].to_numpy(), return_index=True)
-            group = group.take(pa.array(once))
+            group, v, size = _with_sets(group, n)
             if group.num_rows < 2:
                 continue
-            i, j, jac = rows_of(group)
+            i, j, jac = rows_of(group, v, size)
+            del v
             if not len(i):
                 continue
             key = group["key"].to_numpy()
@@ -188,15 +209,17 @@ def _verify(n: int, threshold: float, emit: str):
                 yield pa.RecordBatch.from_arrays([pa.array(key[i]), pa.array(key[j])], ["a", "b"])
             elif emit == "links":
                 n_docs = group["n_copies"].to_numpy()
-                n = np.bincount(i, n_docs[j], len(key)) + np.bincount(j, n_docs[i], len(key))
-                some = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([pa.array(key[some]), pa.array(n[some].astype(np.int64))], ["key", "n"])
+                gained = np.bincount(i, n_docs[j], len(key)) + np.bincount(j, n_docs[i], len(key))
+                some = np.flatnonzero(gained)
+                yield pa.RecordBatch.from_arrays([pa.array(key[some]), pa.array(gained[some].astype(np.int64))], ["key", "n"])
             else:
                 own = group["class_id"].to_numpy()
                 for a in range(0, len(i), 1 << 16):
                     x, y = own[i[a : a + (1 << 16)]], own[j[a : a + (1 << 16)]]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(np.round(jac[a : a + (1 << 16)], 6))], ["doc_id_a", "doc_id_b", "jaccard"])
 
+        tc.give_back()
+
     return run
 
 
@@ -215,41 +238,12 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return own, label[own]
 
 
-#: Of a class in a pair of blocks.
-_CAND = ("key", "class_id", "n_copies", "own", "lo", "hi")
-
-
-def _sets(n: int):
-    """Recompute the n-gram sets of candidate documents; rows whose set isn't the class's are other rows of a repeated doc_id."""
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in tc.batches(it):
-            v, bound = tc.sorted_sets(*tc.doc_ngrams(tc.Words(texts), n))
-            have = np.flatnonzero(np.diff(bound))
-            if not len(have):
-                continue
-            tight = np.concatenate((bound[:-1][have], bound[-1:]))
-            keys = set_keys(v, tight).view(np.int64)
-            good = keys == part.column(part.schema.get_field_index("key")).to_numpy()[have]
-            pick = have[good]
-            if not len(pick):
-                continue
-            sizes = np.diff(bound)[pick]
-            data = [v[bound[k] : bound[k + 1]].tobytes() for k in pick]
-            kept = part.take(pa.array(pick))
-            yield pa.RecordBatch.from_arrays([kept.column(kept.schema.get_field_index(c)) for c in _CAND] + [pa.array(sizes.astype(np.int32)), pa.array(data, pa.binary())], [*_CAND, "size", "values"])
-
-    return run
-
-
 def _compared(docs: DataFrame, cls: DataFrame, copies: DataFrame | None, n: int, threshold: float, emit: str, block: int) -> DataFrame:
     cand = candidates(cls, block)
     cand = materialize(cand.withColumn("n_copies", F.lit(1).cast("long")) if copies is None else cand.join(copies, "key"), "candidates")
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     with_text = text.join(small(cand), text["doc_id"] == cand["class_id"]).select(*_CAND, "text")
-    kind = "key long, class_id long, n_copies long, own long, lo long, hi long, size int, values binary"
-    sets = with_text.repartition("lo", "hi").mapInArrow(_sets(n), kind).sortWithinPartitions("lo", "hi", "key")
-    return sets.mapInArrow(_verify(n, threshold, emit), {"edges": "a long, b long", "links": "key long, n long", "pairs": "doc_id_a long, doc_id_b long, jaccard double"}[emit])
+    return with_text.repartition("lo", "hi").sortWithinPartitions("lo", "hi", "key").mapInArrow(_verify(n, threshold, emit), {"edges": "a long, b long", "links": "key long, n long", "pairs": "doc_id_a long, doc_id_b long, jaccard double"}[emit])
 
 
 def _begin(docs: DataFrame, n: int, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:

@@ -203,7 +203,7 @@ def sorted_sets(values: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.n
 held: dict = {}
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Return freed memory to the system: workers are reused, and an executor has several."""
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
@@ -216,7 +216,7 @@ def batches(it: Iterable, column: str = "text", keep: bool = False, limit: int =
     if not keep and held:
         held.clear()
     yield from _pieces(it, column, limit)
-    _give_back()
+    give_back()
 
 
 def _pieces(it: Iterable, column: str, limit: int) -> Iterator[tuple[object, list[str | None]]]:
