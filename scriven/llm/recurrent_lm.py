@@ -6,7 +6,8 @@ and starts the next.  A gated recurrent unit reads the words; the output is fact
 over classes of words and one over the words of the class.  Words are put into classes by
 frequency rank (ties by hash); a class is full when its number of words times its share of the
 corpus reaches ``FULL``, so frequent words have small classes, rare ones large classes, and a
-step is expected to weigh as many words of a class as there are classes.
+step is expected to weigh ``FULL`` times as many words of a class as there are classes (with 1 it
+weighs fewest, but in more and smaller products of matrices).
 
 Spelling.  Words beyond the vocabulary are read as one unknown word and then spelled: their
 probability is that of the unknown word times that of their letters, each given the two before
@@ -20,7 +21,8 @@ every document of the corpus: each document takes part in one of ``ROUNDS`` roun
 a hash of its text.  In a round each task starts from the round's model and runs over its documents, all
 lanes in step.  A document is read whole in one lane, its state carried from window to window
 and cleared only where it ends; a lane that is done takes the task's next document, until none is
-left.  That doesn't depend on the sizes of batches.  The models are then averaged,
+left.  That doesn't depend on the sizes of batches.  Tasks are merged until they hold
+about ``TASK`` words, if there are more than run at a time.  The models are then averaged,
 weighted by the words seen.  The average is a distributed sum over blocks of parameters, so
 what reaches the driver is one model.
 
@@ -40,6 +42,7 @@ import math
 import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +54,7 @@ from .common import groups, materialize, table
 
 SHARE = 32
 #: Words of a class times the share of the corpus that they make up.
-FULL = 1.0
+FULL = 2.0
 WIDTH = 16
 WINDOW = 16
 #: Rows whose softmax is computed together.
@@ -63,7 +66,9 @@ RATE = 0.1
 #: Parameters that are averaged together: a task reads one block of every model at a time.
 BLOCK = 1 << 14
 #: Words of a batch to score and lanes; a long document fills a lane alone, so batches are large.
-BATCH = 1_200_000
+BATCH = 3_000_000
+#: Words of a task that trains or scores: its longest documents, which go on alone at its end, are then a small part of it.
+TASK = 8_000_000
 LANES = 512
 U64 = np.uint64
 f4 = np.float32
@@ -76,12 +81,46 @@ def _added(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return u, np.bincount(inverse, n, len(u)).astype(np.int64)
 
 
-def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(places, whether there) in sorted keys."""
-    if not len(keys):
-        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return at, keys[at] == wanted
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in any order, and the sum of each one's numbers."""
+    t = pa.table({"key": keys, "n": n}).group_by("key", use_threads=False).aggregate([("n", "sum")])
+    return t["key"].to_numpy(), t["n_sum"].to_numpy()
+
+
+class _Index:
+    """Where distinct keys lie in their array, by open addressing."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = max(4, (2 * len(keys)).bit_length())
+        self.given, self.shift, self.mask = keys, U64(64 - bits), (1 << bits) - 1
+        self.keys, self.place = np.zeros(1 << bits, U64), np.full(1 << bits, -1, np.int32)
+        keys, rest = keys.view(U64), np.arange(len(keys))
+        at = self._start(keys)
+        while len(rest):
+            free = self.place[at] < 0
+            self.place[at[free]] = rest[free]  # of several that want a place one gets it
+            mine = self.place[at] == rest
+            self.keys[at[mine]] = keys[rest[mine]]
+            rest, at = rest[~mine], (at[~mine] + 1) & self.mask
+
+    def __reduce__(self) -> tuple:
+        return _Index, (self.given,)
+
+    def _start(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * U64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, -1 where it isn't there."""
+        keys = keys.view(U64)
+        at = self._start(keys)
+        out = self.place[at]
+        rest = np.flatnonzero((self.keys[at] != keys) & (out >= 0))
+        while len(rest):
+            at[rest] = (at[rest] + 1) & self.mask
+            now = at[rest]
+            out[rest] = self.place[now]
+            rest = rest[(self.keys[now] != keys[rest]) & (out[rest] >= 0)]
+        return out
 
 
 #: Bits of a code point in a key, and a key of letters before and the letter; 0 is the start and the end of a word.
@@ -97,22 +136,24 @@ class Spelling:
         total, kinds = int(n1.sum()), len(one)
         self.never = 1 / alphabet * (kinds / (total + kinds) if total else 1)
         #: Of 1, 2 and 3 letters: keys, their probabilities, keys of what comes before and the weight of the shorter ones after it.
-        self.levels = [(one, n1 / max(1, total + kinds) + self.never, None, None)]
+        self.levels = [(_Index(one), n1 / max(1, total + kinds) + self.never, None, None)]
         for k in (2, 3):
             gram, many = _added(keys & ((1 << _BITS * k) - 1), n)
             before, inverse = np.unique(gram >> _BITS, return_inverse=True)
             seen, kinds = np.bincount(inverse, many, len(before)), np.bincount(inverse, minlength=len(before))
             shorter = self.probability(gram & ((1 << _BITS * (k - 1)) - 1), k - 1)
-            self.levels.append((gram, (many + kinds[inverse] * shorter) / (seen + kinds)[inverse], before, kinds / (seen + kinds)))
+            self.levels.append((_Index(gram), (many + kinds[inverse] * shorter) / (seen + kinds)[inverse], _Index(before), kinds / (seen + kinds)))
 
     def probability(self, keys: np.ndarray, k: int = 3) -> np.ndarray:
         gram, p, before, weight = self.levels[k - 1]
-        at, there = _found(gram, keys)
+        at = gram.find(keys)
+        there = at >= 0
         out = np.full(len(keys), self.never)
         out[there] = p[at[there]]
         if k > 1 and not there.all():
             rest = keys[~there]
-            at, known = _found(before, rest >> _BITS)
+            at = before.find(rest >> _BITS)
+            known = at >= 0
             less = np.ones(len(rest))
             less[known] = weight[at[known]]
             out[~there] = less * self.probability(rest & ((1 << _BITS * (k - 1)) - 1), k - 1)
@@ -134,14 +175,16 @@ def _letters(words: tc.Words, which: np.ndarray) -> tuple[np.ndarray, np.ndarray
 class Model:
     """Parameters; class c has the words first[c] to first[c + 1]."""
 
-    hashes: np.ndarray  # sorted hashes of known words
+    hashes: np.ndarray  # hashes of known words
     ids: np.ndarray  # their ids
     params: dict[str, np.ndarray]
     first: np.ndarray
     spelling: Spelling | None = None
+    words: int = 0  # of all documents it was trained on
 
     def __post_init__(self) -> None:
         self.class_of = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
+        self.index = _Index(self.hashes)
 
 
 END, UNKNOWN = 0, 1
@@ -175,10 +218,7 @@ def fresh(hashes: np.ndarray, first: np.ndarray | None = None, width: int = WIDT
 
 
 def word_ids(model: Model, words: np.ndarray) -> np.ndarray:
-    if not len(model.hashes):
-        return np.full(len(words), UNKNOWN, np.int32)
-    at = np.minimum(np.searchsorted(model.hashes, words), len(model.hashes) - 1)
-    return np.where(model.hashes[at] == words, model.ids[at], UNKNOWN).astype(np.int32)
+    return np.append(model.ids, np.int32(UNKNOWN))[model.index.find(words)]
 
 
 @dataclass
@@ -203,11 +243,11 @@ def _windows(ids: list[np.ndarray], lanes: int = LANES) -> Iterator[Window]:
         heapq.heapreplace(load, (n + int(size[i]), k))
     placed.sort(key=lambda lane: -size[lane].sum())
     order = np.array([i for lane in placed for i in lane])
-    flat = np.concatenate([np.append(ids[i], END) for i in order]).astype(np.int64)
-    doc = np.repeat(order, size[order])
+    flat = np.concatenate([np.append(ids[i], END) for i in order]).astype(np.int32)
+    doc = np.repeat(order.astype(np.int32), size[order])
     starts = np.zeros(len(flat), bool)
     starts[np.cumsum(size[order]) - size[order]] = True
-    read = np.concatenate(([END], flat[:-1]))
+    read = np.roll(flat, 1)
     read[starts] = END
     long = np.array([size[lane].sum() for lane in placed])
     begin = np.cumsum(long) - long
@@ -220,72 +260,76 @@ def _windows(ids: list[np.ndarray], lanes: int = LANES) -> Iterator[Window]:
 
 def _refilled(docs: Iterator[np.ndarray], lanes: int = LANES) -> Iterator[tuple[np.ndarray, Window]]:
     """Documents in the order they come, each whole in one lane; a lane that is done takes the next, and when none is left windows get longer.  (lanes of the window before that go on, window)."""
-    rest: list[np.ndarray] = [np.zeros(0, np.int64)] * lanes  # words to foresee, END last
-    last, own = [END] * lanes, [0] * lanes
-    live, taken, first = list(range(lanes)), 0, 0
-    while live:
+    rest, at = [np.zeros(0, np.int64)] * lanes, [0] * lanes  # words to foresee, END last, and the next one
+    last, own = np.full(lanes, END), np.zeros(lanes, np.int64)
+    live, taken, first = np.arange(lanes), 0, 0
+    while len(live):
         steps = WINDOW * min(LONGER, max(1, first // len(live)))
-        source, target, doc = (np.zeros((len(live), steps), np.int64) for _ in range(3))
-        go_on, valid = np.ones((len(live), steps), f4), np.zeros((len(live), steps), bool)
-        for i, k in enumerate(live):
-            t = 0
-            while t < steps:
-                if not len(rest[k]):
-                    ids = next(docs, None)
-                    if ids is None:
-                        break
-                    rest[k], last[k] = np.append(ids, END).astype(np.int64), END
-                    go_on[i, t] = 0
-                    own[k], taken = taken, taken + 1
-                now = rest[k][: steps - t]
-                z = t + len(now)
-                source[i, t], source[i, t + 1 : z], target[i, t:z], valid[i, t:z], doc[i, t:z] = last[k], now[:-1], now, True, own[k]
-                rest[k], last[k], t = rest[k][len(now) :], now[-1], z
+        target, doc = np.zeros((len(live), steps), np.int64), np.repeat(own[live][:, None], steps, axis=1)
+        go_on, valid = np.ones((len(live), steps), f4), np.ones((len(live), steps), bool)
+        for i, k in enumerate(live.tolist()):
+            now, a, t = rest[k], at[k], 0
+            if a + steps <= len(now):
+                target[i], at[k] = now[a : a + steps], a + steps
+                continue
+            while True:
+                n = min(len(now) - a, steps - t)
+                target[i, t : t + n] = now[a : a + n]
+                a, t = a + n, t + n
+                if t == steps:
+                    break
+                ids = next(docs, None)
+                if ids is None:
+                    valid[i, t:] = False
+                    break
+                now, a = np.append(ids, END), 0
+                go_on[i, t], doc[i, t:], own[k], taken = 0, taken, taken, taken + 1
+            rest[k], at[k] = now, a
+        source = np.empty_like(target)  # a document is read from END on, which closed the one before it
+        source[:, 0], source[:, 1:], last[live] = last[live], target[:, :-1], target[:, -1]
         some = np.flatnonzero(valid[:, 0])
         if not len(some):
             return
         first = first or len(some)
         yield some, Window(source[some].T, target[some].T, go_on[some].T, valid[some].T, doc[some].T)
-        live = [live[i] for i in some]
-
+        live = live[some]
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    """In place."""
-    np.negative(x, out=x)
-    with np.errstate(over="ignore"):
-        np.exp(x, out=x)
-    x += 1
-    return np.reciprocal(x, out=x)
 
+def _forward(p: dict, h: np.ndarray, x: Window):
+    """States (steps, width, lanes) after each step, and what the backward pass needs; lanes lie along the last axis so that each part is contiguous.
 
-def _forward(p: dict, h: np.ndarray, x: Window, keep: bool):
-    """States (steps, width, lanes) after each step, and what the backward pass needs; lanes lie along the last axis so that each part is contiguous."""
+    Weights are scaled so that exp() takes what they give: a gate is 1 / (1 + exp(-a)), the hyperbolic tangent 2 / (1 + exp(-2 a)) - 1.
+    """
     steps, n = x.source.shape
     w = len(h)
+    scale = np.repeat(np.array([-1, -1, -2], h.dtype), w)[:, None]
     embedded = p["embed"][x.source.reshape(-1)].reshape(steps, n, w).transpose(0, 2, 1)
-    gx = p["gate_in"].T @ embedded
-    gx += p["gate_bias"][:, None]
-    turn = np.ascontiguousarray(p["gate_state"].T)
-    states, kept = np.empty((steps, w, n), h.dtype), []
-    for t in range(steps):
-        h = h * x.go_on[t]
-        a = turn @ h
-        zr = gx[t, : 2 * w]
-        zr += a[: 2 * w]
-        z, r = _sigmoid(zr)[:w], zr[w:]
-        new = r * a[2 * w :]
-        new += gx[t, 2 * w :]
-        new *= 2
-        new = _sigmoid(new)  # the hyperbolic tangent
-        new *= 2
-        new -= 1
-        if keep:
-            kept.append((h, z, r, new, a[2 * w :]))
-        h = h - new
-        h *= z
-        h += new
-        states[t] = h
-    return states, embedded, kept
+    gx = (p["gate_in"].T * scale) @ embedded
+    gx += p["gate_bias"][:, None] * scale
+    turn = p["gate_state"].T * scale
+    clear = (x.go_on == 0).any(axis=1).tolist()
+    states, a, new = np.empty((steps, w, n), h.dtype), np.empty((steps, 3 * w, n), h.dtype), np.empty((steps, w, n), h.dtype)
+    zr = gx[:, : 2 * w]
+    with np.errstate(over="ignore"):
+        for at, gates, z, r, gn, out, own, t, cleared in zip(a, zr, zr[:, :w], zr[:, w:], gx[:, 2 * w :], states, new, range(steps), clear):
+            if cleared:
+                h = h * x.go_on[t]
+            np.matmul(turn, h, out=at)
+            gates += at[: 2 * w]
+            np.exp(gates, out=gates)
+            gates += 1
+            np.reciprocal(gates, out=gates)
+            np.multiply(r, at[2 * w :], out=own)
+            own += gn
+            np.exp(own, out=own)
+            own += 1
+            np.divide(2, own, out=own)
+            own -= 1
+            np.subtract(h, own, out=out)
+            out *= z
+            out += own
+            h = out
+    return states, embedded, (zr[:, :w], zr[:, w:], new, a[:, 2 * w :], clear)
 
 
 def _rows(states: np.ndarray, ok: np.ndarray) -> np.ndarray:
@@ -301,6 +345,11 @@ def _wide(weight: np.ndarray, first: np.ndarray) -> list[bool]:
     return (np.maximum.reduceat(np.abs(weight) @ np.ones(weight.shape[1], weight.dtype), first) > 60).tolist()
 
 
+@lru_cache(maxsize=1 << 12)
+def _ones(n: int, kind: np.dtype) -> np.ndarray:
+    return np.ones(n, kind)
+
+
 def _softmax(h: np.ndarray, weight: np.ndarray, own: np.ndarray, wide: bool, back: bool) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
     """Log-probability of each row's own column; with back also d(-sum)/d of rows and weights.  h ends with a column of ones, weight with the bias."""
     rows = np.arange(len(h))
@@ -309,7 +358,7 @@ def _softmax(h: np.ndarray, weight: np.ndarray, own: np.ndarray, wide: bool, bac
         e -= e.max(axis=1, keepdims=True)
     mine = e[rows, own]
     np.exp(e, out=e)
-    s = e @ np.ones(e.shape[1], e.dtype)
+    s = e @ _ones(e.shape[1], e.dtype)
     mine -= np.log(s)
     if not back:
         return mine, None, None
@@ -363,35 +412,35 @@ def gradients(model: Model, p: dict, h: np.ndarray, x: Window) -> tuple[float, d
     """(-log-likelihood of the window, its gradients with the entering state (width, lanes) fixed, leaving state)."""
     w, g = len(h), {}
     (steps, n), dtype = x.source.shape, h.dtype
-    states, embedded, kept = _forward(p, h, x, True)
+    states, embedded, (z, r, new, an, clear) = _forward(p, h, x)
     ok = np.flatnonzero(x.valid)
     logp, back = _output(model, p, _all_wide(model, p), _rows(states, ok), x.target.reshape(-1)[ok], g)
     dh_all = np.zeros((x.valid.size, w), dtype)
     dh_all[ok] = back
     dh_all = np.ascontiguousarray(dh_all.reshape(steps, n, w).transpose(0, 2, 1))
-    da, befores, dn_all = np.empty((steps, 3 * w, n), dtype), np.empty((steps, w, n), dtype), np.empty((steps, w, n), dtype)
-    dh, rest, dz = np.zeros_like(h), np.empty_like(h), np.empty_like(h)
+    befores = np.concatenate((h[None], states[:-1]))
+    befores *= x.go_on[:, None]
+    # what a step's dh is multiplied by for its gates and its new state, for all steps at once
+    rest, by = 1 - z, np.empty((steps, 3, w, n), dtype)
+    np.subtract(befores, new, out=by[:, 0])
+    by[:, 0] *= z
+    by[:, 0] *= rest
+    rest *= 1 - new * new
+    np.multiply(rest, r, out=by[:, 2])
+    np.multiply(by[:, 2], 1 - r, out=by[:, 1])
+    by[:, 1] *= an
+    by[:, 1] *= dtype.type(-0.5)  # the scale of an
+    da, dh = np.empty((steps, 3, w, n), dtype), np.zeros_like(h)
+    flat = da.reshape(steps, 3 * w, n)
     for t in range(steps - 1, -1, -1):
-        before, z, r, new, an = kept[t]
-        dh += dh_all[t]
-        dn, step = dn_all[t], da[t]
-        np.subtract(1, z, out=rest)
-        np.multiply(dh, rest, out=dn)
-        np.subtract(before, new, out=dz)
-        dz *= dn
-        np.multiply(dz, z, out=step[:w])
-        np.multiply(new, new, out=rest)
-        np.subtract(1, rest, out=rest)
-        dn *= rest
-        np.multiply(dn, r, out=step[2 * w :])
-        np.multiply(dn, an, out=dz)
-        dz *= r
-        np.subtract(1, r, out=rest)
-        np.multiply(dz, rest, out=step[w : 2 * w])
-        befores[t] = before
-        dh *= z
-        dh += p["gate_state"] @ step
-        dh *= x.go_on[t]
+        d = dh_all[t]
+        d += dh
+        np.multiply(by[t], d, out=da[t])
+        np.multiply(d, z[t], out=dh)
+        dh += p["gate_state"] @ flat[t]
+        if clear[t]:
+            dh *= x.go_on[t]
+    da, dn_all = flat, np.multiply(dh_all, rest, out=rest)
     g["gate_state"] = (befores @ da.transpose(0, 2, 1)).sum(axis=0)
     da[:, 2 * w :] = dn_all
     g["gate_in"], g["gate_bias"] = (embedded @ da.transpose(0, 2, 1)).sum(axis=0), da.sum(axis=(0, 2))
@@ -441,7 +490,7 @@ def log_likelihoods(model: Model, ids: list[np.ndarray]) -> np.ndarray:
 
     for x in _windows(ids):
         n = x.source.shape[1]
-        states, _, _ = _forward(p, np.zeros((w, n), f4) if state is None else state[:, :n], x, False)
+        states, _, _ = _forward(p, np.zeros((w, n), f4) if state is None else state[:, :n], x)
         state = states[-1]
         ok = np.flatnonzero(x.valid)
         waiting.append((_rows(states, ok), x.target.reshape(-1)[ok], x.doc.reshape(-1)[ok]))
@@ -457,7 +506,9 @@ def log_likelihoods(model: Model, ids: list[np.ndarray]) -> np.ndarray:
 def _unknown(model: Model, words: tc.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words beyond the vocabulary: their places, and of the distinct ones letters, the word of each letter, the distinct word of each place."""
     at = np.flatnonzero(word_ids(model, words.hash) == UNKNOWN)
-    _, first, inverse = np.unique(words.hash[at], return_index=True, return_inverse=True)
+    inverse = pa.array(words.hash[at]).dictionary_encode().indices.to_numpy()
+    first = np.zeros(int(inverse.max()) + 1 if len(inverse) else 0, np.int64)
+    first[inverse[::-1]] = np.arange(len(inverse))[::-1]
     return at, *_letters(words, at[first]), inverse
 
 
@@ -495,12 +546,12 @@ def _counted(it: Iterator[pa.RecordBatch], keys_of) -> Iterator[pa.RecordBatch]:
         waiting.append(keys_of(texts))
         many += len(waiting[-1][0])
         if many > 1 << 20:
-            sums = _added(*map(np.concatenate, zip(sums, *waiting)))
+            sums = _summed(*map(np.concatenate, zip(sums, *waiting)))
             waiting, many = [], 0
             if len(sums[0]) > 1 << 20:  # hand on what is counted so far; it is added up later
                 yield batch()
                 sums = (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    sums = _added(*map(np.concatenate, zip(sums, *waiting)))
+    sums = _summed(*map(np.concatenate, zip(sums, *waiting)))
     yield batch()
 
 
@@ -551,12 +602,17 @@ def _averaged(models: DataFrame) -> bytes:
     return b"".join(r[1] for r in sorted(done.collect()))
 
 
+def tasks(docs: DataFrame, words: int) -> DataFrame:
+    """The documents in tasks of about TASK words, but no fewer tasks than run at a time."""
+    return docs.coalesce(max(docs.sparkSession.sparkContext.defaultParallelism, -(-words // TASK)))
+
+
 def fit(docs: DataFrame, rounds: int = ROUNDS, share: float = SHARE, width: int = WIDTH, rate: float = RATE) -> Model:
     """Train on all documents; see the module's text."""
     text = docs.select(F.col("text").cast("string").alias("text")).where("text is not null")
     hashes, many, words = vocabulary(text, share)
     model = fresh(hashes, class_bounds(np.concatenate(([1, words - many.sum()], many))), width=width)
-    model.spelling = spelling(text, model)
+    model.spelling, model.words = spelling(text, model), words
     shapes = [(k, model.params[k].shape) for k in NAMES]
     blocks = -(-sum(int(np.prod(s)) for _, s in shapes) // BLOCK)
     for turn in range(rounds):
@@ -569,7 +625,7 @@ def fit(docs: DataFrame, rounds: int = ROUNDS, share: float = SHARE, width: int
                 parts = np.array_split(np.concatenate([p[k].reshape(-1) for k in NAMES]), blocks)
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(blocks, dtype=np.int32)), pa.array([float(seen)] * blocks), pa.array([x.tobytes() for x in parts], pa.binary())], ["block", "weight", "values"])
 
-        part = text.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == turn)
+        part = tasks(text.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == turn), words // rounds)
         flat = np.frombuffer(_averaged(part.mapInArrow(run, "block int, weight double, values binary")), f4)
         if len(flat):
             cut = np.cumsum([0, *(int(np.prod(s)) for _, s in shapes)])
@@ -596,4 +652,5 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return score(docs, fit(docs))
+    model = fit(docs)
+    return score(tasks(docs, model.words), model)

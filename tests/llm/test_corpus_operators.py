@@ -1,6 +1,7 @@
 """The ten operators against brute force, and their cases: nulls, empty and long texts, ties, repeated rows, empty tables, clashing names."""
 
 import itertools
+import pickle
 import random
 import re
 
@@ -589,6 +590,18 @@ def test_language_model_spells_every_letter():
     assert owner.tolist() == [0] * 4 + [1] * 2 + [2] * 4 + [3] * 2
 
 
+def test_language_model_looks_up_words_and_bounds_tasks(spark):
+    g = np.random.default_rng(6)
+    for keys in (np.zeros(0, np.int64), np.arange(3000) << 42, np.unique(g.integers(-(1 << 62), 1 << 62, 5000))):
+        keys = g.permutation(keys)
+        index = pickle.loads(pickle.dumps(recurrent_lm._Index(keys)))
+        wanted, place = np.concatenate((keys, keys + 1, [0, -1])), {k: i for i, k in enumerate(keys.tolist())}
+        assert index.find(wanted).tolist() == [place.get(k, -1) for k in wanted.tolist()]
+    df, cores = spark.range(200).repartition(60), spark.sparkContext.defaultParallelism
+    for many in (0, 1, 40, 100):
+        assert recurrent_lm.tasks(df, many * recurrent_lm.TASK).rdd.getNumPartitions() == min(60, max(many, cores))
+
+
 def test_jpeg_and_avi_round_trip():
     g = np.random.default_rng(0)
     picture = np.clip(128 + 60 * np.sin(np.arange(40)[:, None] / 6 + np.arange(50)[None, :] / 9) + g.normal(0, 3, (40, 50)), 0, 255).astype(np.uint8)
