@@ -367,8 +367,9 @@ _SPACE, _LETTER, _NUMBER, _OTHER = range(4)
 def _kinds() -> np.ndarray:
     """What each code point is to the pattern."""
     out = np.full(0x110000, _OTHER, np.uint8)
-    everything = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
-    for kind, pattern in ((_SPACE, r"\s"), (_LETTER, r"\p{L}"), (_NUMBER, r"\p{N}")):
+    code = np.arange(0x110000, dtype="<u4")
+    everything = code[(code < 0xD800) | (code >= 0xE000)].tobytes().decode("utf-32-le")
+    for kind, pattern in ((_SPACE, r"\s+"), (_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+")):
         out[tc.points("".join(regex.findall(pattern, everything)))] = kind
     return out
 

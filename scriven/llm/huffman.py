@@ -77,11 +77,11 @@ class Code:
         begin = np.cumsum(span) - span
         self.code = begin >> (self.longest - self.length)
         size = int(self.ids.max()) + 1 if len(self.ids) else 0
-        self.by_id = np.full(size, -1, np.int64)
-        self.by_id[self.ids] = np.arange(len(self.ids))
-        place = np.repeat(np.arange(len(self.ids)), span)
-        self.prefix = np.zeros(1 << self.longest, np.int64)
-        self.prefix[: len(place)] = place
+        #: By id its code and, in the last 5 bits, its length, 0 without one; by prefix its id and the length.
+        self.by_id = np.zeros(size, np.int64)
+        self.by_id[self.ids] = self.code << 5 | self.length
+        self.prefix = np.full(1 << self.longest, self.ids[0] << 5 | self.length[0] if len(self.ids) else 1, np.int64)
+        self.prefix[: int(span.sum())] = np.repeat(self.ids << 5 | self.length, span)
 
     def __getstate__(self) -> tuple:
         return self.ids, self.length
@@ -92,29 +92,40 @@ class Code:
 
     def encode(self, ids: np.ndarray, bound: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(bytes, first byte of each list, bits of each list, bit offsets of blocks in their list, first block of each list)."""
-        at = self.by_id[ids]
-        if len(at) and at.min() < 0:
+        code = self.by_id[ids]
+        if len(code) and code.min() == 0:
             raise ValueError("an id has no code")
-        size, code = self.length[at], self.code[at]
+        size = code & 31
+        code >>= 5
         total = np.concatenate(([0], np.cumsum(size)))
         bits = np.diff(total[bound])
         first = np.concatenate(([0], np.cumsum((bits + 7) // 8)))
         count = np.diff(bound)
         inside = total[:-1] - np.repeat(total[bound[:-1]], count)
         where = inside + np.repeat(first[:-1] * 8, count)
-        word = code << (32 - size - (where & 7))
-        spot, need = where >> 3, int(first[-1]) + 4
-        data = np.zeros(need, np.float64)
-        for k in range(4):  # codes don't overlap, so sums of their bytes are their unions
-            data += np.bincount(spot + k, (word >> (24 - 8 * k)) & 255, need)
+        # codes are put into words of 32 bits: their sums are their unions, as they don't overlap
+        spot, need = where >> 5, (int(first[-1]) >> 2) + 2
+        word = code << (64 - size - (where & 31))
+        new = np.ones(len(spot), bool)
+        new[1:] = spot[1:] != spot[:-1]
+        new = np.flatnonzero(new)
+        data = np.zeros(need, np.uint64)
+        if len(new):
+            total = np.add.reduceat(word.view(np.uint64), new)  # of those that begin in a word
+            data[spot[new]] = total >> np.uint64(32)
+            data[spot[new] + 1] |= total & np.uint64(0xFFFFFFFF)
+        data = data.astype(">u4").view(np.uint8)
         step = np.arange(len(ids)) - np.repeat(bound[:-1], count)
         head = step % block == 0
         blocks = np.concatenate(([0], np.cumsum((count + block - 1) // block)))
-        return data[: int(first[-1])].astype(np.uint8), first, bits, inside[head], blocks
+        return data[: int(first[-1])], first, bits, inside[head], blocks
 
     def decode(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Ids of blocks that begin at these bits of the data and have so many ids, one block after the other."""
-        data = np.concatenate((data, np.zeros(4, np.uint8))).astype(np.int64)
+        data = np.concatenate((data, np.zeros(4, np.uint8))).astype(np.uint32)
+        words = data[:-3] << 24  # the 32 bits from each byte on
+        for k in (1, 2, 3):
+            words |= data[k : len(data) - 3 + k] << (24 - 8 * k)
         bit, out = start.astype(np.int64).copy(), np.zeros(int(size.sum()), np.int64)
         to = np.cumsum(size) - size
         order = np.argsort(-size, kind="stable")
@@ -122,11 +133,10 @@ class Code:
         shift, mask = 32 - self.longest, (1 << self.longest) - 1
         for step in range(int(size.max()) if len(size) else 0):
             live = int(np.searchsorted(-left, -step, side="left"))
-            b = bit[:live] >> 3
-            word = (data[b] << 24) | (data[b + 1] << 16) | (data[b + 2] << 8) | data[b + 3]
-            at = self.prefix[(word >> (shift - (bit[:live] & 7))) & mask]
-            out[to[:live] + step] = self.ids[at]
-            bit[:live] += self.length[at]
+            now = bit[:live]
+            found = self.prefix[(words[now >> 3].astype(np.int64) >> (shift - (now & 7))) & mask]
+            out[to[:live] + step] = found >> 5
+            now += found & 31
         return out
 
 

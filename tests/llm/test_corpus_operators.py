@@ -590,6 +590,25 @@ def test_language_model_spells_every_letter():
     assert owner.tolist() == [0] * 4 + [1] * 2 + [2] * 4 + [3] * 2
 
 
+def test_huffman_bits_against_strings():
+    """Streams of long and short codes, many of them within one word of 32 bits, bit by bit; the packed tables hold each code."""
+    g = np.random.default_rng(8)
+    for length in ([1], [1, 1], [*range(1, 24), 24, 24], [2, 2, *range(3, 17), 16, 2][:-1]):
+        code = huffman.Code(np.arange(len(length)) * 3, np.array(length))
+        bits = {i: format(c, f"0{n}b") for i, c, n in zip(code.ids.tolist(), code.code.tolist(), code.length.tolist())}
+        assert all(code.by_id[i] == int(b, 2) << 5 | len(b) for i, b in bits.items())
+        lists = [g.choice(code.ids, n) for n in (0, 1, 1, 2, 0, 700, 3, 256, 257, 0)]
+        bound = np.concatenate(([0], np.cumsum([len(x) for x in lists])))
+        data, first, size, marks, blocks = code.encode(np.concatenate(lists), bound, 256)
+        for k, x in enumerate(lists):
+            want = "".join(bits[i] for i in x.tolist())
+            assert size[k] == len(want) and "".join(f"{b:08b}" for b in data[first[k] : first[k + 1]]) == want + "0" * (-len(want) % 8)
+            own = marks[blocks[k] : blocks[k + 1]]
+            assert code.decode(data, own + first[k] * 8, np.minimum(256, len(x) - 256 * np.arange(len(own)))).tolist() == x.tolist()
+        with pytest.raises(ValueError, match="no code"):
+            huffman.Code(np.array([0, 2]), np.array([1, 1])).encode(np.array([1]), np.array([0, 1]))
+
+
 def test_language_model_looks_up_words_and_bounds_tasks(spark):
     g = np.random.default_rng(6)
     for keys in (np.zeros(0, np.int64), np.arange(3000) << 42, np.unique(g.integers(-(1 << 62), 1 << 62, 5000))):
