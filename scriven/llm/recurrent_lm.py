@@ -59,11 +59,13 @@ WIDTH = 16
 WINDOW = 16
 #: Rows whose softmax is computed together.
 ROWS = 1024
+#: Steps times lanes whose gates are computed together.
+SLAB = 512
 #: Times WINDOW that a training window may span when few lanes are left.
 LONGER = 16
 ROUNDS = 2
 RATE = 0.1
-#: Parameters that are averaged together: a task reads one block of every model at a time.
+#: Parameters that are updated together, and averaged: a task reads one block of every model at a time.
 BLOCK = 1 << 14
 #: Words of a batch to score and lanes; a long document fills a lane alone, so batches are large.
 BATCH = 3_000_000
@@ -249,13 +251,14 @@ def _windows(ids: list[np.ndarray], lanes: int = LANES) -> Iterator[Window]:
     starts[np.cumsum(size[order]) - size[order]] = True
     read = np.roll(flat, 1)
     read[starts] = END
+    go_on = (~starts).astype(f4)
     long = np.array([size[lane].sum() for lane in placed])
     begin = np.cumsum(long) - long
     for t in range(0, int(long[0]), WINDOW):
         n = int(np.searchsorted(-long, -t, side="left"))
         step = t + np.arange(min(WINDOW, int(long[0]) - t))[:, None]
         at = begin[None, :n] + np.minimum(step, long[None, :n] - 1)
-        yield Window(read[at], flat[at], (~starts[at]).astype(f4), step < long[None, :n], doc[at])
+        yield Window(read.take(at), flat.take(at), go_on.take(at), step < long[None, :n], doc.take(at))
 
 
 def _refilled(docs: Iterator[np.ndarray], lanes: int = LANES) -> Iterator[tuple[np.ndarray, Window]]:
@@ -295,54 +298,72 @@ def _refilled(docs: Iterator[np.ndarray], lanes: int = LANES) -> Iterator[tuple[
         live = live[some]
 
 
-def _forward(p: dict, h: np.ndarray, x: Window):
-    """States (steps, width, lanes) after each step, and what the backward pass needs; lanes lie along the last axis so that each part is contiguous.
+def _blocks(steps: int, n: int) -> Iterator[slice]:
+    """Steps in runs whose arrays of ``n`` lanes stay in a core's cache from one numpy pass to the next."""
+    size = max(1, SLAB // n)
+    return (slice(t, min(steps, t + size)) for t in range(0, steps, size))
+
+
+def _forward(p: dict, h: np.ndarray, x: Window, keep: bool = True):
+    """States (steps, width, lanes) after each step, and with ``keep`` what the backward pass needs; lanes lie along the last axis so that each part is contiguous.
 
     Weights are scaled so that exp() takes what they give: a gate is 1 / (1 + exp(-a)), the hyperbolic tangent 2 / (1 + exp(-2 a)) - 1.
     """
     steps, n = x.source.shape
     w = len(h)
     scale = np.repeat(np.array([-1, -1, -2], h.dtype), w)[:, None]
-    embedded = p["embed"][x.source.reshape(-1)].reshape(steps, n, w).transpose(0, 2, 1)
-    gx = (p["gate_in"].T * scale) @ embedded
-    gx += p["gate_bias"][:, None] * scale
-    turn = p["gate_state"].T * scale
+    into, bias, turn = p["gate_in"].T * scale, p["gate_bias"][:, None] * scale, p["gate_state"].T * scale
     clear = (x.go_on == 0).any(axis=1).tolist()
-    states, a, new = np.empty((steps, w, n), h.dtype), np.empty((steps, 3 * w, n), h.dtype), np.empty((steps, w, n), h.dtype)
-    zr = gx[:, : 2 * w]
+    kept = steps if keep else 1
+    states, zr, an, new = (np.empty((k, m * w, n), h.dtype) for k, m in ((steps, 1), (kept, 2), (kept, 1), (kept, 1)))
+    embedded, at = [], np.empty((3 * w, n), h.dtype)
     with np.errstate(over="ignore"):
-        for at, gates, z, r, gn, out, own, t, cleared in zip(a, zr, zr[:, :w], zr[:, w:], gx[:, 2 * w :], states, new, range(steps), clear):
-            if cleared:
-                h = h * x.go_on[t]
-            np.matmul(turn, h, out=at)
-            gates += at[: 2 * w]
-            np.exp(gates, out=gates)
-            gates += 1
-            np.reciprocal(gates, out=gates)
-            np.multiply(r, at[2 * w :], out=own)
-            own += gn
-            np.exp(own, out=own)
-            own += 1
-            np.divide(2, own, out=own)
-            own -= 1
-            np.subtract(h, own, out=out)
-            out *= z
-            out += own
-            h = out
-    return states, embedded, (zr[:, :w], zr[:, w:], new, a[:, 2 * w :], clear)
+        for s in _blocks(steps, n):
+            e = p["embed"].take(x.source[s].reshape(-1), axis=0).reshape(s.stop - s.start, n, w).transpose(0, 2, 1)
+            gx = into @ e
+            gx += bias
+            if keep:
+                embedded.append(e)
+            for t, g in zip(range(s.start, s.stop), gx):
+                if clear[t]:
+                    h = h * x.go_on[t]
+                k = t if keep else 0
+                gates, own, out = zr[k], new[k], states[t]
+                np.matmul(turn, h, out=at)
+                np.add(g[: 2 * w], at[: 2 * w], out=gates)
+                np.exp(gates, out=gates)
+                gates += 1
+                np.reciprocal(gates, out=gates)
+                np.multiply(gates[w:], at[2 * w :], out=own)
+                own += g[2 * w :]
+                np.exp(own, out=own)
+                own += 1
+                np.divide(2, own, out=own)
+                own -= 1
+                np.subtract(h, own, out=out)
+                out *= gates[:w]
+                out += own
+                if keep:
+                    an[t] = at[2 * w :]
+                h = out
+    return states, embedded, (zr[:, :w], zr[:, w:], new, an, clear)
 
 
 def _rows(states: np.ndarray, ok: np.ndarray) -> np.ndarray:
     """The states of some steps and lanes as rows that end with a one."""
     w = states.shape[1]
     out = np.ones((len(ok), w + 1), states.dtype)
-    out[:, :w] = states.transpose(0, 2, 1).reshape(-1, w)[ok]
+    out[:, :w] = states.transpose(0, 2, 1).reshape(-1, w).take(ok, axis=0)
     return out
 
 
-def _wide(weight: np.ndarray, first: np.ndarray) -> list[bool]:
-    """Whether a group of rows of the weights could make exp overflow; states lie within -1 and 1."""
-    return (np.maximum.reduceat(np.abs(weight) @ np.ones(weight.shape[1], weight.dtype), first) > 60).tolist()
+def _reach(weight: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The most that a group of rows of the weights can give; states lie within -1 and 1."""
+    return np.maximum.reduceat(np.abs(weight) @ np.ones(weight.shape[1], weight.dtype), first)
+
+
+#: What exp may be given without the maximum taken off first.
+SAFE = 60
 
 
 @lru_cache(maxsize=1 << 12)
@@ -350,129 +371,172 @@ def _ones(n: int, kind: np.dtype) -> np.ndarray:
     return np.ones(n, kind)
 
 
-def _softmax(h: np.ndarray, weight: np.ndarray, own: np.ndarray, wide: bool, back: bool) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
-    """Log-probability of each row's own column; with back also d(-sum)/d of rows and weights.  h ends with a column of ones, weight with the bias."""
-    rows = np.arange(len(h))
-    e = h @ weight.T
+def _softmax(h: np.ndarray, weight: np.ndarray, at: np.ndarray, wide: bool, room: np.ndarray, scale: float, back: np.ndarray | None = None, grad: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's own output and the sum of exp over all, the log of which is to be taken off; ``back`` gets that sum times d(-sum)/d of rows, ``grad`` scale * d(-sum)/d of weights.
+
+    h ends with a column of ones, weight with the bias; ``at`` is where each row's own output lies in the flat table of outputs, which is computed in ``room``.
+    """
+    flat = room[: len(h) * len(weight)]
+    e = flat.reshape(len(h), len(weight))
+    np.matmul(h, weight.T, out=e)
     if wide:
         e -= e.max(axis=1, keepdims=True)
-    mine = e[rows, own]
+    mine = flat[at]
     np.exp(e, out=e)
-    s = e @ _ones(e.shape[1], e.dtype)
-    mine -= np.log(s)
-    if not back:
-        return mine, None, None
-    e[rows, own] -= s
-    h = h / s[:, None]
-    back = e @ np.ascontiguousarray(weight[:, :-1])
-    back *= h[:, -1:]
-    return mine, back, e.T @ h
-
-
-def _output(model: Model, p: dict, wide: tuple, h: np.ndarray, target: np.ndarray, grads: dict | None) -> tuple[np.ndarray, np.ndarray | None]:
-    """Log-probability of each target from its state with a one; with grads also d(-sum)/dh, and gradients are stored."""
-    learn, first = grads is not None, model.first
+    s = e @ _ones(len(weight), e.dtype)
+    if back is not None:
+        flat[at] -= s
+        np.matmul(e, weight[:, :-1], out=back)
+        np.matmul(e.T, h * (scale / s)[:, None], out=grad)
+    return mine, s
+
+
+def _by_class(model: Model, target: np.ndarray) -> np.ndarray:
+    """Order of the targets by class."""
     cls = model.class_of[target]
-    order = np.argsort(cls.astype(np.int16) if len(first) < 1 << 15 else cls, kind="stable")
-    cls, word, h = cls[order], target[order], h[order]
-    logp, dh = np.empty(len(h), h.dtype), np.empty((len(h), h.shape[1] - 1), h.dtype) if learn else None
+    return np.argsort(cls.astype(np.int16) if len(model.first) < 1 << 15 else cls, kind="stable")
+
+
+def _output(model: Model, p: dict, wide: tuple, h: np.ndarray, target: np.ndarray, grads: dict | None, scale: float = 1.0) -> tuple[np.ndarray, np.ndarray | None]:
+    """Log-probability of each target from its state with a one, both in order of classes; with grads also scale * d(-sum)/dh, and gradients are stored."""
+    learn, first, n = grads is not None, model.first, len(h)
+    cls = model.class_of[target]
+    size = np.diff(first)
+    room = np.empty(min(n, ROWS) * max(len(size), int(size.max())), h.dtype)
+    own, sums, back, grad = np.zeros((2, n), h.dtype), np.ones((2, n), h.dtype), [None, None], None
     if learn:
-        grads["class_out"], grads["word_out"] = np.zeros_like(p["class_out"]), np.zeros_like(p["word_out"])
-    for a in range(0, len(h), ROWS):
-        logp[a : a + ROWS], back, d = _softmax(h[a : a + ROWS], p["class_out"], cls[a : a + ROWS], wide[0][0], learn)
+        back = np.zeros((2, n, h.shape[1] - 1), h.dtype)
+        grads["class_out"], grads["word_out"] = np.zeros_like(p["class_out"]), np.empty_like(p["word_out"])
+        grad = np.empty_like(p["class_out"])
+    place = np.arange(n) % ROWS
+    at = place * len(size) + cls
+    for a in range(0, n, ROWS):
+        y = a + ROWS
+        own[0, a:y], sums[0, a:y] = _softmax(h[a:y], p["class_out"], at[a:y], wide[0][0], room, scale, back[0][a:y] if learn else None, grad)
         if learn:
-            dh[a : a + ROWS] = back
-            grads["class_out"] += d
-    cut = np.searchsorted(cls, np.arange(len(first))).tolist()
-    for c, (a, z) in enumerate(zip(cut, cut[1:])):
-        u, v = int(first[c]), int(first[c + 1])
-        if v - u == 1:  # a word that is a class
-            continue
-        for a in range(a, z, ROWS):
-            y = min(z, a + ROWS)
-            own, back, d = _softmax(h[a:y], p["word_out"][u:v], word[a:y] - u, wide[1][c], learn)
-            logp[a:y] += own
+            grads["class_out"] += grad
+    cut = np.searchsorted(cls, np.arange(len(first)))
+    at = (np.arange(n) - cut[cls]) % ROWS * size[cls] + target - first[cls]
+    for c, (a, z, u, v) in enumerate(zip(cut.tolist(), cut[1:].tolist(), first.tolist(), first[1:].tolist())):
+        if a == z or v - u == 1:  # a word that is a class has no other output
             if learn:
-                dh[a:y] += back
-                grads["word_out"][u:v] += d
-    out = np.empty_like(logp)
-    out[order] = logp
-    if not learn:
-        return out, None
-    back = np.empty_like(dh)
-    back[order] = dh
-    return out, back
+                grads["word_out"][u:v] = 0
+            continue
+        weight = p["word_out"][u:v]
+        grad = grads["word_out"][u:v] if learn else None
+        for b in range(a, z, ROWS):
+            y = min(z, b + ROWS)
+            into = grad if b == a or not learn else np.empty_like(grad)
+            own[1, b:y], sums[1, b:y] = _softmax(h[b:y], weight, at[b:y], wide[1][c], room, scale, back[1, b:y] if learn else None, into)
+            if learn and b > a:
+                grad += into
+    if learn:
+        back *= (scale / sums)[:, :, None]
+        back[0] += back[1]
+    np.log(sums, out=sums)
+    own -= sums
+    own[0] += own[1]
+    return own[0], back[0]
 
 
-def _all_wide(model: Model, p: dict) -> tuple[list[bool], list[bool]]:
-    return _wide(p["class_out"], np.zeros(1, np.int64)), _wide(p["word_out"], model.first[:-1])
+def _all_wide(model: Model, p: dict) -> tuple[tuple[list[bool], list[bool]], float]:
+    """Whether class_out and the classes' rows of word_out could make exp overflow, and the most that any can give."""
+    reach = _reach(p["class_out"], np.zeros(1, np.int64)), _reach(p["word_out"], model.first[:-1])
+    return tuple((~(r <= SAFE)).tolist() for r in reach), max(float(r.max()) for r in reach)
 
 
-def gradients(model: Model, p: dict, h: np.ndarray, x: Window) -> tuple[float, dict, np.ndarray]:
-    """(-log-likelihood of the window, its gradients with the entering state (width, lanes) fixed, leaving state)."""
+def gradients(model: Model, p: dict, h: np.ndarray, x: Window, scale: float = 1.0, wide: tuple | None = None) -> tuple[float, dict, np.ndarray]:
+    """(-log-likelihood of the window, its gradients times scale with the entering state (width, lanes) fixed, leaving state)."""
     w, g = len(h), {}
     (steps, n), dtype = x.source.shape, h.dtype
-    states, embedded, (z, r, new, an, clear) = _forward(p, h, x)
+    states, embedded, (z_all, r_all, new_all, an_all, clear) = _forward(p, h, x)
     ok = np.flatnonzero(x.valid)
-    logp, back = _output(model, p, _all_wide(model, p), _rows(states, ok), x.target.reshape(-1)[ok], g)
-    dh_all = np.zeros((x.valid.size, w), dtype)
-    dh_all[ok] = back
-    dh_all = np.ascontiguousarray(dh_all.reshape(steps, n, w).transpose(0, 2, 1))
-    befores = np.concatenate((h[None], states[:-1]))
-    befores *= x.go_on[:, None]
-    # what a step's dh is multiplied by for its gates and its new state, for all steps at once
-    rest, by = 1 - z, np.empty((steps, 3, w, n), dtype)
-    np.subtract(befores, new, out=by[:, 0])
-    by[:, 0] *= z
-    by[:, 0] *= rest
-    rest *= 1 - new * new
-    np.multiply(rest, r, out=by[:, 2])
-    np.multiply(by[:, 2], 1 - r, out=by[:, 1])
-    by[:, 1] *= an
-    by[:, 1] *= dtype.type(-0.5)  # the scale of an
-    da, dh = np.empty((steps, 3, w, n), dtype), np.zeros_like(h)
-    flat = da.reshape(steps, 3 * w, n)
-    for t in range(steps - 1, -1, -1):
-        d = dh_all[t]
-        d += dh
-        np.multiply(by[t], d, out=da[t])
-        np.multiply(d, z[t], out=dh)
-        dh += p["gate_state"] @ flat[t]
-        if clear[t]:
-            dh *= x.go_on[t]
-    da, dn_all = flat, np.multiply(dh_all, rest, out=rest)
-    g["gate_state"] = (befores @ da.transpose(0, 2, 1)).sum(axis=0)
-    da[:, 2 * w :] = dn_all
-    g["gate_in"], g["gate_bias"] = (embedded @ da.transpose(0, 2, 1)).sum(axis=0), da.sum(axis=(0, 2))
-    dx = (da.transpose(0, 2, 1) @ p["gate_in"].T).reshape(-1, w)
+    target = x.target.reshape(-1)[ok]
+    order = _by_class(model, target)
+    ok = ok[order]
+    logp, back = _output(model, p, wide or _all_wide(model, p)[0], _rows(states, ok), target[order], g, scale)
+    row = np.full(x.valid.size, len(ok))  # of what isn't valid: one of zeros
+    row[ok] = np.arange(len(ok))
+    dh_all = np.concatenate((back, np.zeros((1, w), dtype))).take(row, axis=0).reshape(steps, n, w).transpose(0, 2, 1)
+    g |= {k: np.zeros_like(p[k]) for k in ("gate_state", "gate_in", "gate_bias")}
+    dx_all, dh, ones = np.empty((steps, n, w), dtype), np.zeros_like(h), _ones(n, dtype)
+    for s, e in reversed(list(zip(_blocks(steps, n), embedded))):
+        z, r, new, k = z_all[s], r_all[s], new_all[s], s.stop - s.start
+        before = np.empty((k, w, n), dtype)
+        before[0], before[1:] = states[s.start - 1] if s.start else h, states[s.start : s.stop - 1]
+        if any(clear[s]):
+            before *= x.go_on[s][:, None]
+        # what a step's dh is multiplied by for its gates and its new state
+        rest, by, own = 1 - z, np.empty((k, 3, w, n), dtype), np.empty((k, w, n), dtype)
+        np.subtract(before, new, out=own)
+        own *= z
+        np.multiply(own, rest, out=by[:, 0])
+        np.multiply(new, new, out=own)
+        np.subtract(1, own, out=own)
+        rest *= own
+        np.multiply(rest, r, out=by[:, 2])
+        np.subtract(r, 1, out=own)
+        own *= dtype.type(0.5)  # the scale of an
+        own *= an_all[s]
+        np.multiply(by[:, 2], own, out=by[:, 1])
+        da, d_all = by.reshape(k, 3 * w, n), np.ascontiguousarray(dh_all[s])
+        for t in range(k - 1, -1, -1):
+            d = d_all[t]
+            d += dh
+            by[t] *= d
+            np.multiply(d, z[t], out=dh)
+            dh += p["gate_state"] @ da[t]
+            if clear[s.start + t]:
+                dh *= x.go_on[s.start + t]
+        turned = da.transpose(0, 2, 1)
+        g["gate_state"] += (before @ turned).sum(axis=0)
+        np.multiply(d_all, rest, out=by[:, 2])
+        g["gate_in"] += (e @ turned).sum(axis=0)
+        g["gate_bias"] += (da @ ones).sum(axis=0)
+        np.matmul(turned, p["gate_in"].T, out=dx_all[s])
     ids = x.source.reshape(-1)
     order = np.argsort(ids, kind="stable")
-    first = np.flatnonzero(np.diff(ids[order], prepend=-1))
-    g["embed"] = ids[order[first]], np.add.reduceat(dx[order], first, axis=0)
+    ids = ids[order]
+    first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+    g["embed"] = ids[first], np.add.reduceat(dx_all.reshape(-1, w).take(order, axis=0), first, axis=0)
     return -float(logp.sum()), g, states[-1]
 
 
+def _adagrad(p: np.ndarray, square: np.ndarray, d: np.ndarray, rate: float) -> None:
+    """A step in place; d is used up."""
+    np.maximum(d, -1, out=d)
+    np.minimum(d, 1, out=d)
+    own = d * d
+    square += own
+    np.sqrt(square, out=own)
+    d /= own
+    d *= f4(rate)
+    p -= d
+
+
 def train(model: Model, lists: Iterator[list[np.ndarray]], rate: float = RATE) -> tuple[dict, int]:
     """(parameters after a pass over the lists, words seen), from the model's parameters."""
     p = {k: v.copy() for k, v in model.params.items()}
     square = {k: np.full_like(v, 1e-3) for k, v in p.items()}
     seen, most, state = 0, 0, np.zeros((p["gate_state"].shape[0], LANES), f4)
+    wide, calm = None, 0
     for lanes, x in _refilled(ids for some in lists for ids in some):
-        _, g, state = gradients(model, p, state[:, lanes], x)
+        if calm <= 0:
+            wide, reach = _all_wide(model, p)
+            # no parameter moves by more than the rate in a step, so for some windows none can become wide
+            calm = (SAFE - reach) / (1.01 * rate * p["word_out"].shape[1])
+        calm -= 1
         words = int(x.valid.sum())
         seen, most = seen + words, max(most, words)
+        _, g, state = gradients(model, p, state[:, lanes], x, 64 / most, wide)  # a window of few words counts less
+        at, d = g.pop("embed")  # elsewhere gradients are 0 and nothing changes
+        own, sums = p["embed"].take(at, axis=0), square["embed"].take(at, axis=0)
+        _adagrad(own, sums, d, rate)
+        p["embed"][at], square["embed"][at] = own, sums
         for k, d in g.items():
-            at = slice(None)
-            if k == "embed":  # elsewhere gradients are 0 and nothing changes
-                at, d = d
-            d *= f4(64 / most)  # a window of few words counts less
-            np.clip(d, -1, 1, out=d)
-            own = square[k][at] + d * d
-            square[k][at] = own
-            np.sqrt(own, out=own)
-            d /= own
-            d *= f4(rate)
-            p[k][at] -= d
+            flat, sums, d = p[k].reshape(-1), square[k].reshape(-1), d.reshape(-1)
+            for a in range(0, len(d), BLOCK):
+                _adagrad(flat[a : a + BLOCK], sums[a : a + BLOCK], d[a : a + BLOCK], rate)
     return p, seen
 
 
@@ -482,15 +546,16 @@ def log_likelihoods(model: Model, ids: list[np.ndarray]) -> np.ndarray:
     out, state, waiting, many = np.zeros(len(ids)), None, [], 0
     if not len(ids):
         return out
-    wide = _all_wide(model, p)
+    wide, _ = _all_wide(model, p)
 
     def add() -> None:
         h, target, doc = map(np.concatenate, zip(*waiting))
-        np.add(out, np.bincount(doc, _output(model, p, wide, h, target, None)[0], len(ids)), out=out)
+        order = _by_class(model, target)
+        np.add(out, np.bincount(doc[order], _output(model, p, wide, h.take(order, axis=0), target[order], None)[0], len(ids)), out=out)
 
     for x in _windows(ids):
         n = x.source.shape[1]
-        states, _, _ = _forward(p, np.zeros((w, n), f4) if state is None else state[:, :n], x)
+        states, _, _ = _forward(p, np.zeros((w, n), f4) if state is None else state[:, :n], x, keep=False)
         state = states[-1]
         ok = np.flatnonzero(x.valid)
         waiting.append((_rows(states, ok), x.target.reshape(-1)[ok], x.doc.reshape(-1)[ok]))

@@ -581,6 +581,43 @@ def test_language_model_trains_on_whole_documents():
     assert all(np.array_equal(one[k], each[k]) for k in recurrent_lm.NAMES)
 
 
+def test_language_model_steps_in_blocks(monkeypatch):
+    """Blocks of steps, parts of a class and the scale change no gradient; the bounds on outputs aren't computed anew each window and hold."""
+    g = np.random.default_rng(9)
+    model = recurrent_lm.fresh(np.sort(g.integers(1, 1 << 60, 38).astype(np.uint64)), np.array([0, 1, 2, 12, 40]), width=5)
+    docs = [g.integers(1, 40, n) for n in (3, 40, 12, 1, 0, 25)]
+    p, got = {k: v.astype(np.float64) for k, v in model.params.items()}, []
+    for slab, rows, scale in ((512, 1024, 1.0), (1, 4, 1.0), (7, 3, 0.25)):
+        monkeypatch.setattr(recurrent_lm, "SLAB", slab)
+        monkeypatch.setattr(recurrent_lm, "ROWS", rows)
+        h, out = np.zeros((5, 3)), []
+        for lanes, x in recurrent_lm._refilled(iter(docs), lanes=3):
+            loss, grads, h = recurrent_lm.gradients(model, p, h[:, lanes], x, scale)
+            grads["embed_rows"], grads["embed"] = grads["embed"]
+            out += [np.array(loss), h, *(grads[k] / (1 if k == "embed_rows" else scale) for k in sorted(grads))]
+        got.append((out, recurrent_lm.log_likelihoods(model, docs)))
+    for out, each in got[1:]:
+        assert len(out) == len(got[0][0]) and all(np.allclose(a, b, rtol=1e-9, atol=1e-12) for a, b in zip(out, got[0][0]))
+        assert np.allclose(each, got[0][1], rtol=1e-5)
+    monkeypatch.undo()
+    model.params["word_out"][5] *= 40  # near to what exp takes, and soon beyond it
+    bounds, step, counted, windows = recurrent_lm._all_wide, recurrent_lm.gradients, [], []
+
+    def watched(model, p, h, x, scale=1.0, wide=None):
+        for now, used in zip(bounds(model, p)[0], wide):
+            assert all(u or not n for n, u in zip(now, used))
+        windows.append(1)
+        return step(model, p, h, x, scale, wide)
+
+    monkeypatch.setattr(recurrent_lm, "_all_wide", lambda *a: counted.append(1) or bounds(*a))
+    monkeypatch.setattr(recurrent_lm, "gradients", watched)
+    for k in (1, 3):
+        model.params["word_out"][5] *= k
+        counted.clear(), windows.clear()
+        recurrent_lm.train(model, iter([[g.integers(1, 40, 20) for _ in range(3000)] + [np.full(4000, 5)]]))
+        assert len(windows) > 20 and (len(counted) < len(windows) / 2 if k == 1 else len(counted) == len(windows))
+
+
 def test_language_model_spells_every_letter():
     texts = ["Abc x", "", None, "abd \U00020000"]
     words = tc.Words(texts, spans=True)
