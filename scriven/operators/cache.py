@@ -1,7 +1,8 @@
 """Results kept by content: a Parquet table keyed by a hash of text, type, options and counter.
 
 Rows are appended in one folder a day, so eviction drops whole folders.  The key covers every
-option and the resolved type, so a result is never reused under others.
+option and the type that is forced or that the path gives, so a result is never reused under
+others; where the content decides, the text stands for its type, with the rules' digest.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ KEEP_DAYS = 30
 
 
 def key(text: Column, kind: Column, language: Column, options: Options) -> Column:
-    part = lambda c: F.coalesce(c, F.lit(""))
-    return F.sha2(F.concat_ws("\x1f", F.lit(options.key()), part(kind), part(language), text), 256)
+    """``kind`` and ``language`` as declared; a null kind is the content's."""
+    return F.sha2(F.concat_ws("\x1f", F.lit(options.key()), F.coalesce(kind, F.lit(D.RULES)), F.coalesce(language, F.lit("")), text), 256)
 
 
 class ResultCache:
@@ -45,11 +46,13 @@ class ResultCache:
         """condense(docs) in which known texts are looked up and new ones, each once, are computed and kept.
 
         The new rows are written before the result is read, and the result joins the one table.
+        Keys alone are compared with those known; only the texts of new ones move.
         """
-        kind = D.resolve(F.col(text), F.col(path) if path else None, forced)
-        keyed = docs.withColumn("__kind", kind).withColumn("cache_key", key(F.col(text), F.col("__kind.content_type"), F.col("__kind.language"), options)).drop("__kind")
-        known = self.rows().select("cache_key").distinct()
-        fresh = keyed.where(F.col(text).isNotNull()).join(known, "cache_key", "left_anti").dropDuplicates(["cache_key"])
+        kind = D.declared(F.col(path) if path else None, forced)
+        keyed = docs.withColumn("cache_key", key(F.col(text), kind["content_type"], kind["language"], options))
+        some = keyed.where(F.col(text).isNotNull())
+        new = some.select("cache_key").join(self.rows().select("cache_key"), "cache_key", "left_anti").distinct()
+        fresh = some.join(new, "cache_key", "left_semi").dropDuplicates(["cache_key"])
         made = condense(fresh, options, text, path, forced).select("cache_key", *RESULTS).withColumn("day", F.lit(today or dt.date.today()))
         made.write.mode("append").partitionBy("day").parquet(self.path)
         table = self.rows().dropDuplicates(["cache_key"]).select("cache_key", *RESULTS)
