@@ -1,4 +1,4 @@
-"""MinHash over word shingles: signatures as expressions, near-duplicate blocks in a text.
+"""MinHash over word shingles: signatures in Arrow batches, near-duplicate blocks in a text.
 
 A word is what white space separates; a shingle is three words in a row, or one word of a text
 with fewer than three.  A shingle's base hash is 28 bits of its MD5, and slot k of a signature
@@ -10,11 +10,15 @@ overflows.  Two texts are alike if they share a band of ``ROWS`` slots and at le
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from . import lines as L
 from .lexers import collapse, texts_udf
@@ -28,22 +32,129 @@ _SPACE = re.compile("[" + L.WHITE + "]+")
 BOUNDARY = r"\n[\r\n]+"
 
 
-def shingles(text: Column) -> Column:
-    """The distinct shingles of a text; none if it has no words."""
-
-    def cut(words: Column) -> Column:
-        many = F.transform(F.sequence(F.lit(1), F.size(words) - (SIZE - 1)), lambda i: F.array_join(F.slice(words, i, SIZE), " "))
-        return F.array_distinct(F.when(F.size(words) >= SIZE, many).otherwise(words))
-
-    return L.bind(F.filter(F.split(text, L.WHITE_CLASS + "++"), lambda w: w != ""), cut)
-
-
-def base_hash(shingle: Column) -> Column:
-    return F.conv(F.substring(F.md5(shingle.cast("binary")), 1, 7), 16, 10).cast("long")
-
-
-def slot(h: Column, k: int) -> Column:
-    return (h * F.lit(int(A[k])) + F.lit(int(B[k]))) % F.lit(PRIME)
+# MD5 of many short strings at once: its constants, shifts, order of words, and the padding by length.
+_K = [np.uint32(int(abs(math.sin(i + 1)) * 2**32)) for i in range(64)]
+_S = [np.uint32(s) for four in ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)) for s in four * 4]
+_G = [(i, 5 * i + 1, 3 * i + 5, 7 * i)[i // 16] % 16 for i in range(64)]
+_IV = [np.uint32(x) for x in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)]
+SHORT = 55  #: bytes that fit one block
+_HELD = np.zeros((SHORT + 1, 64), np.uint8)
+_PAD = np.zeros((SHORT + 1, 64), np.uint8)
+for _n in range(SHORT + 1):
+    _HELD[_n, :_n] = 255
+    _PAD[_n, _n] = 128
+    _PAD[_n, 56:58] = (_n * 8 & 255, _n * 8 >> 8)
+_HELD, _PAD = _HELD.view(np.uint64), _PAD.view(np.uint64)
+STEP, CHARS = 1 << 13, 1 << 18
+
+
+def _md5_short(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The first 28 bits of the MD5 of raw[start : start + size], each at most SHORT; raw goes on for 64 bytes."""
+    rows = np.lib.stride_tricks.sliding_window_view(raw, 64)[start].view(np.uint64)
+    m = np.ascontiguousarray(((rows & _HELD[size]) | _PAD[size]).view("<u4").T)
+    a, b, c, d = (np.full(len(start), x, np.uint32) for x in _IV)
+    f, t = np.empty_like(a), np.empty_like(a)
+    for i in range(64):
+        if i < 16:
+            np.bitwise_xor(c, d, out=f)
+            f &= b
+            f ^= d
+        elif i < 32:
+            np.bitwise_xor(b, c, out=f)
+            f &= d
+            f ^= c
+        elif i < 48:
+            np.bitwise_xor(b, c, out=f)
+            f ^= d
+        else:
+            np.invert(d, out=f)
+            f |= b
+            f ^= c
+        f += a
+        f += _K[i]
+        f += m[_G[i]]
+        np.right_shift(f, np.uint32(32) - _S[i], out=t)
+        f <<= _S[i]
+        f |= t
+        f += b
+        a, b, c, d, f = d, f, b, c, a
+    a += _IV[0]
+    return a.byteswap() >> np.uint32(4)
+
+
+def _words(text: str) -> list[str]:
+    """What WHITE separates; str.split() also cuts at four control characters."""
+    return [w for w in _SPACE.split(text) if w] if _CONTROLS.search(text) else text.split()
+
+
+def _signatures(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of the texts that have words, a row each, and which texts they are."""
+    words = [_words(t) for t in texts]
+    count = np.fromiter(map(len, words), np.int64, len(words))
+    which = np.flatnonzero(count)
+    if not len(which):
+        return np.zeros((0, SLOTS), np.int64), which
+    count = count[which]
+    raw = " ".join(" ".join(w) for w in words if w).encode()
+    whole = np.frombuffer(raw + bytes(64), np.uint8)
+    end = np.append(np.flatnonzero(whole[: len(raw)] == 32), len(raw))
+    start = np.append(0, end[:-1] + 1)
+    # a shingle runs from its first word to the end of its last, in a text of fewer than SIZE words it is a word
+    first, many = np.cumsum(count) - count, count >= SIZE
+    per = np.where(many, count - (SIZE - 1), count)
+    begin = np.cumsum(per) - per
+    at = np.arange(per.sum()) + np.repeat(first - begin, per)
+    size = end[at + np.repeat(np.where(many, SIZE - 1, 0), per)] - start[at]
+    start = start[at]
+    h = np.empty(len(at), np.uint64)
+    for x in range(0, len(at), STEP):
+        s, n = start[x : x + STEP], size[x : x + STEP]
+        h[x : x + STEP] = _md5_short(whole, s, np.minimum(n, SHORT))
+        for j in np.flatnonzero(n > SHORT).tolist():
+            h[x + j] = int(hashlib.md5(raw[s[j] : s[j] + n[j]]).hexdigest()[:7], 16)
+    out = np.full((len(which), SLOTS), PRIME, np.int64)
+    for x in range(0, len(h), STEP):
+        part = h[x : x + STEP]
+        i, j = np.searchsorted(begin, [x, x + len(part) - 1], side="right") - 1
+        edges = np.maximum(begin[i : j + 1] - x, 0)
+        v, w = np.empty_like(part), np.empty_like(part)
+        for k in range(SLOTS):  # 2**31 is 1 modulo PRIME
+            np.multiply(part, _A[k], out=v)
+            v += _B[k]
+            np.right_shift(v, _31, out=w)
+            v &= _P
+            v += w
+            low = v.astype(np.uint32)
+            np.minimum(low, low - _P32, out=low)  # less than 2 * PRIME; what would be negative is large
+            out[i : j + 1, k] = np.minimum(out[i : j + 1, k], np.minimum.reduceat(low, edges))
+    return out, which
+
+
+_A, _B, _31, _P, _P32 = A.astype(np.uint64), B.astype(np.uint64), np.uint64(31), np.uint64(PRIME), np.uint32(PRIME)
+_CONTROLS = re.compile("[\x1c-\x1f]")
+
+
+@F.arrow_udf(ArrayType(LongType()))
+def _signature_udf(texts: pa.Array) -> pa.Array:
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    parts, a = [], 0
+    while a < len(texts):  # some CHARS bytes at a time
+        z = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + CHARS, side="right")))
+        rows, which = _signatures([t or "" for t in texts.slice(a, z - a).to_pylist()])
+        has = np.zeros(z - a, np.int64)
+        has[which] = SLOTS
+        offsets = pa.array(np.append(0, np.cumsum(has)).astype(np.int32))
+        parts.append(pa.ListArray.from_arrays(offsets, pa.array(rows.ravel(), pa.int64()), mask=pa.array(has == 0)))
+        a = z
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int64()))
+
+
+_signature_udf = _signature_udf.asNondeterministic()  # computed once, however often it is named
+
+
+def signature_of(text: Column) -> Column:
+    """ARRAY<BIGINT> of SLOTS; null if the text has no words."""
+    return _signature_udf(text)
 
 
 def blocks(text: Column) -> Column:

@@ -11,11 +11,12 @@ from ..functions import neardup as N
 def signatures(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, signature ARRAY<BIGINT>) of each document with words.
 
-    The slots are minima of one aggregation, combined before the shuffle: one row of 64 numbers
-    for each document and task is all that moves.  Rows that share an id count as one text.
+    Signatures of rows are made in Arrow batches, some 250 KB of text at a time; one row of 64
+    numbers for each document is all that moves.  Rows that share an id count as one text: its
+    slots are the minima of theirs.
     """
-    hashes = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.explode(N.shingles(F.col(text))).alias("s")).select("id", N.base_hash(F.col("s")).alias("h"))
-    least = hashes.groupBy("id").agg(*[F.min(N.slot(F.col("h"), k)).alias(f"s{k}") for k in range(N.SLOTS)])
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), N.signature_of(F.col(text)).alias("s")).where(F.col("s").isNotNull())
+    least = rows.groupBy("id").agg(*[F.min(F.col("s")[k]).alias(f"s{k}") for k in range(N.SLOTS)])
     return least.select(F.col("id").alias(id_col), F.array(*[F.col(f"s{k}") for k in range(N.SLOTS)]).alias("signature"))
 
 

@@ -339,6 +339,21 @@ def test_condense(spark):
     assert condense(df.limit(0)).count() == 0
 
 
+def test_signatures_in_batches(spark):
+    rng = random.Random(3)
+    alphabet = ["a", "b\u00e9", "\u3000", " ", "\n", "\x1c", "\x1f x", "w" * 30, "\U0001f600", "\x85", "z "]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(12))) for _ in range(400)]
+    texts += [None, "", " \u2003\n", "a", "a b", "a b c", "x" * 5000 + " y z", " ".join(f"w{i}" for i in range(50_000))]
+    texts += [" ".join("q" * n for n in (a, 1, 1)) for a in range(48, 60)]  # about as long as one block of MD5
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    sigs = similar.signatures(df)
+    want = {i: s.tolist() for i, t in enumerate(texts) if t and (s := neardup.signature(t)) is not None}
+    assert {r.doc_id: r.signature for r in sigs.collect()} == want
+    assert "Generate" not in sigs._jdf.queryExecution().executedPlan().toString()  # no row a shingle
+    twice = similar.signatures(spark.createDataFrame([(1, "a b c d"), (1, "e f"), (1, None)], "doc_id long, text string")).collect()
+    assert [r.signature for r in twice] == [[min(x) for x in zip(neardup.signature("a b c d").tolist(), neardup.signature("e f").tolist())]]
+
+
 def test_options(tmp_path):
     a, b = tmp_path / "a.toml", tmp_path / "b.toml"
     b.write_text('[defaults]\nbudget = 5\nstubs = true\n[strip]\npatterns = ["x"]\n')
