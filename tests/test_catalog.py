@@ -34,3 +34,12 @@ def test_query(spark, con, name):
     assert sorted(names) == sorted(df.columns)
     key = lambda rows: sorted(repr(norm(tuple(r))) for r in rows)
     assert key(df.select(*names).collect()) == key(rel.fetchall())
+
+
+def test_ledger_totals_condenses_each_document_once_a_run(spark, monkeypatch):
+    plans = []
+    record = catalog.ledger.Ledger.record
+    monkeypatch.setattr(catalog.ledger.Ledger, "record", lambda self, done, run=None: (plans.append(done._jdf.queryExecution().optimizedPlan().toString()), record(self, done, run))[1])
+    catalog.ledger_totals(spark, str(SF))
+    assert len(plans) == 3
+    assert all(p.index("Filter") > p.index("ArrowEvalPython") for p in plans)  # the run's documents are chosen below
