@@ -181,6 +181,7 @@ def distinct_blocks(text: str) -> str:
     parts = re.split(BOUNDARY, text)
     if parts and not parts[-1]:
         parts.pop()
+    alone = len(dict.fromkeys(k for b in parts if (k := b.strip(L.WHITE)))) < 2  # nothing to compare it with
     for block in parts:
         key = block.strip(L.WHITE)
         if not key:
@@ -189,6 +190,9 @@ def distinct_blocks(text: str) -> str:
         if key in exact:
             continue
         exact.add(key)
+        if alone:
+            kept.append(block)
+            continue
         sig = signature(key)
         own = [sig[b * ROWS : (b + 1) * ROWS].tobytes() for b in range(len(bands))]
         near = {i for b, k in enumerate(own) for i in bands[b].get(k, ())}

@@ -15,6 +15,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType
 
+from .batches import mapped
+
 Counter = Callable[[Column], Column]
 CHARS = 4
 
@@ -50,7 +52,7 @@ class bpe_counter:  # noqa: N801  a function that also keeps budgets
         @F.arrow_udf(LongType())
         def count(texts: pa.Array) -> pa.Array:
             enc = _encoding(path)
-            return pa.array([None if t is None else len(enc.encode_ordinary(t)) for t in texts.to_pylist()], pa.int64())
+            return mapped(lambda t: len(enc.encode_ordinary(t)), pa.int64(), texts)
 
         return count(text)
 
@@ -63,7 +65,7 @@ class bpe_counter:  # noqa: N801  a function that also keeps budgets
         def head(texts: pa.Array, budgets: pa.Array) -> pa.Array:
             enc = _encoding(path)
             count = lambda t: len(enc.encode_ordinary(t))
-            return pa.array([t if t is None or n is None else head_within(t, n, count) for t, n in zip(texts.to_pylist(), budgets.to_pylist())], pa.string())
+            return mapped(lambda t, n: t if n is None else head_within(t, n, count), pa.string(), texts, budgets)
 
         return head.asNondeterministic()(text, budget)
 

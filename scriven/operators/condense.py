@@ -18,6 +18,7 @@ from pyspark.sql.types import StringType
 
 from ..functions import detect as D
 from ..functions import formats, lexers, neardup, stubs
+from ..functions.batches import mapped
 from ..functions.tokens import Counter, approximate, saved_pct
 from ..plans.options import Options
 
@@ -45,8 +46,7 @@ def _python_step(options: Options):
 
     @F.arrow_udf(StringType())
     def run(texts: pa.Array, kinds: pa.Array, languages: pa.Array, stubbed: pa.Array, smart: pa.Array) -> pa.Array:
-        rows = zip(*(x.to_pylist() for x in (texts, kinds, languages, stubbed, smart)))
-        return pa.array([None if t is None else one(t, *rest) for t, *rest in rows], pa.string())
+        return mapped(one, pa.string(), texts, kinds, languages, stubbed, smart)
 
     return run.asNondeterministic()
 

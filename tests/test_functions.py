@@ -291,6 +291,35 @@ def test_near_blocks(spark):
     assert apply(spark, neardup.drop_near_blocks, [text, None, "", "x"]) == [" ".join(a) + "\n\n" + " ".join(c), None, "", "x"]
 
 
+def test_a_block_alone_needs_no_signature(monkeypatch):
+    made = []
+    signature = neardup.signature
+    monkeypatch.setattr(neardup, "signature", lambda text: (made.append(text), signature(text))[1])
+    assert neardup.distinct_blocks("a b\nc\n") == "a b\nc" and neardup.distinct_blocks("a\n\n \n\na") == "a" and not made
+    assert neardup.distinct_blocks("a\n\nb") == "a\n\nb" and made == ["a", "b"]
+
+
+def test_batches_are_worked_on_in_pieces():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from scriven.operators.condense import _python_step
+
+    texts = [f"{i} " + "word " * 2000 for i in range(3000)] + [None, ""]
+    n = len(texts)
+    step = _python_step(O.Options(smart=True)).func
+    columns = pa.array(texts), pa.array(["text"] * n), pa.array([None] * n, pa.string()), pa.array([False] * n), pa.array([True] * n)
+    tracemalloc.start()
+    try:
+        got = step(*columns)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 15_000_000  # of 30 MB of text
+    assert got.to_pylist() == texts
+
+
 def test_signatures_and_pairs(spark):
     rng = random.Random(2)
     base = [" ".join(f"w{rng.randrange(900)}" for _ in range(50)) for _ in range(20)]
