@@ -320,6 +320,19 @@ def test_batches_are_worked_on_in_pieces():
     assert got.to_pylist() == texts
 
 
+def test_exact_tokens_are_counted_in_pieces(monkeypatch):
+    import pyarrow as pa
+
+    from scriven.functions import batches
+
+    monkeypatch.setattr(batches, "PIECE", 25)
+    texts = ["ab", None, "", "x" * 100, "cd e", "\u00e9" * 12, None]
+    enc = tokens._encoding(EXACT)
+    for n in range(len(texts) + 1):
+        got = batches.mapped(lambda t, k: len(enc.encode_ordinary(t)) + k, pa.int64(), pa.array(texts[:n], pa.string()), pa.array(range(n), pa.int64()))
+        assert got.to_pylist() == [None if t is None else len(enc.encode_ordinary(t)) + k for k, t in enumerate(texts[:n])]
+
+
 def test_signatures_and_pairs(spark):
     rng = random.Random(2)
     base = [" ".join(f"w{rng.randrange(900)}" for _ in range(50)) for _ in range(20)]
